@@ -33,6 +33,15 @@ def fresh(df: DataFrame | Iterable[str], name: str) -> str:
     return name
 
 
+def exact(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """df narrowed to the columns of exactly these names, the first of each, whatever else clashes with them."""
+    names = list(dict.fromkeys(names))
+    need(df, names)
+    columns = df.columns
+    by_place = df.toDF(*[f"_c{i}" for i in range(len(columns))])
+    return by_place.select(*[F.col(f"_c{columns.index(n)}").alias(n) for n in names])
+
+
 def need(df: DataFrame, columns: Iterable[str]) -> None:
     """Raises where a column that an operator needs is absent."""
     missing = [c for c in columns if c not in df.columns]

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortloom.functions.common import entity_key, month_of, need
+from cohortloom.functions.common import entity_key, exact, month_of, need
 
 
 @dataclass(frozen=True)
@@ -102,8 +102,8 @@ def temperature_levels(support: int = 3) -> tuple[Level, ...]:
 
 
 def fill_users(users: DataFrame, field: str, only_missing: bool = False) -> DataFrame:
-    return fill_missing(users, "id", field, user_levels(), only_missing=only_missing)
+    return fill_missing(exact(users, ("id", field, "year_of_birth", "has_diabetes", "lsoa11cd")), "id", field, user_levels(), only_missing=only_missing)
 
 
 def fill_temperatures(assessments: DataFrame, only_missing: bool = False) -> DataFrame:
-    return fill_missing(assessments, "id", "temperature_f", temperature_levels(), only_missing=only_missing)
+    return fill_missing(exact(assessments, ("id", "temperature_f", "user_id", "received_at")), "id", "temperature_f", temperature_levels(), only_missing=only_missing)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortloom.functions.common import entity_key, month_of, need
+from cohortloom.functions.common import entity_key, exact, month_of, need
 
 
 def find_orphans(
@@ -36,6 +36,7 @@ def find_orphans(
 
 
 def orphans_of_assessments(assessments: DataFrame, users: DataFrame) -> DataFrame:
+    assessments, users = exact(assessments, ("id", "user_id", "received_at")), exact(users, ("id", "j_valid_from", "j_valid_to"))
     return find_orphans(
         assessments, users, record="id", reference=entity_key(F.col("user_id")), parent=entity_key(F.col("id")), at=F.col("received_at"),
         valid_from="j_valid_from", valid_to="j_valid_to", period=month_of(F.col("received_at")), table_name="assessments",
@@ -43,6 +44,7 @@ def orphans_of_assessments(assessments: DataFrame, users: DataFrame) -> DataFram
 
 
 def orphans_of_users(users: DataFrame, areas: DataFrame) -> DataFrame:
+    users, areas = exact(users, ("id", "lsoa11cd", "j_valid_from")), exact(areas, ("lsoa11cd",))
     blank = F.col("lsoa11cd").rlike(r"^[\s ]*$")
     return find_orphans(users, areas, record="id", reference=F.when(~blank, F.col("lsoa11cd")), parent=F.col("lsoa11cd"), period=month_of(F.col("j_valid_from")), table_name="users")
 

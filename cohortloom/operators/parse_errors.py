@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cohortloom.functions.common import fresh, need
+from cohortloom.functions.common import exact, fresh
 
 # What a number of each type looks like once blanks around it are gone.
 INTEGER_TEXT = r"^[+-]?[0-9]+$"
@@ -101,7 +101,7 @@ def parse_errors(records: DataFrame, layouts: tuple[Layout, ...] = (USERS_CSV, A
     a repeated record gives its rows again; an empty table gives none. Other columns of the input aren't read, so
     their names can't clash.
     """
-    need(records, (key, file, text))
+    records = exact(records, (key, file, text))
     spark = records.sparkSession
     width = F.coalesce(*[F.when(F.col("_file") == x.file_name, F.lit(len(x.columns))) for x in layouts], F.lit(-1))
     base = records.select(F.col(key).alias("_key"), F.col(file).alias("_file"), F.col(text).alias("_text"))
@@ -124,6 +124,7 @@ def error_report(errors: DataFrame, key: str = "record_id") -> DataFrame:
 
 def clean_rows(records: DataFrame, layout: Layout, errors: DataFrame, key: str = "record_id", file: str = "file_name", text: str = "raw_text") -> DataFrame:
     """The readable records of one layout, typed: the records without an error row (anti-join), blanks in a number as null."""
+    records = exact(records, (key, file, text))
     own = records.filter(F.col(file) == layout.file_name).filter(F.col(text).isNotNull())
     bad = errors.select(F.col(key).alias("_bad_key")).distinct()
     good = own.join(bad, own[key].eqNullSafe(bad["_bad_key"]), "left_anti").withColumn("_cells", cells_of(F.col(text)))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortloom.functions.common import entity_key
+from cohortloom.functions.common import entity_key, exact
 from cohortloom.operators.impute import missing_number
 from cohortloom.operators.timestamps import normalise_timestamps
 
@@ -237,7 +237,7 @@ def score_readings(readings: DataFrame, chunk: int = 20_000, block: int = 60_000
     columns take no part; repeated ids count once; ties in time are ordered by value and id; no readings give no rows.
     The table of hot sources has one row for each source of over `chunk` readings.
     """
-    readings = readings.select("id", "source", "utc_us", F.col("value").cast("double").alias("value")).dropna()
+    readings = exact(readings, ("id", "source", "utc_us", "value")).select("id", "source", "utc_us", F.col("value").cast("double").alias("value")).dropna()
     hot = readings.groupBy("source").agg(F.count("*").alias("_n")).filter(F.col("_n") > chunk).select("source")
     places, stats = _chunks(readings, hot, chunk)
     # Joining the two small tables of hot sources: adaptive execution broadcasts them if they turn out small.
@@ -251,6 +251,7 @@ def score_readings(readings: DataFrame, chunk: int = 20_000, block: int = 60_000
 
 def temperature_readings(assessments: DataFrame) -> DataFrame:
     """(id, source, utc_us, value) of assessments with a usable user, date and temperature."""
+    assessments = exact(assessments, ("id", "date", "time_zone", "locale", "received_at", "user_id", "temperature_f"))
     there = assessments.select("id", "date", "time_zone", "locale", "received_at", entity_key(F.col("user_id")).alias("user_id"), "temperature_f").filter(~F.coalesce(missing_number(F.col("temperature_f")), F.lit(True)) & F.col("user_id").isNotNull() & F.col("date").isNotNull())
     at = normalise_timestamps(there).filter(F.col("utc_us").isNotNull())
     return at.select("id", F.col("user_id").alias("source"), "utc_us", F.col("temperature_f").cast("double").alias("value"))

@@ -144,10 +144,18 @@ def normalise_timestamps(df: DataFrame, text: str = "date", zone: str | None = "
     Defined results: null, blank, non-date text and impossible dates or times give null; parts not written are zero;
     an unknown zone in the zone column counts as none; an unknown zone in the text gives null; null locale reads the
     day first; a null arrival or source takes no part in the estimate and falls back to default_zone. Repeated rows
-    each get their instant. Columns of df are kept as they are; the helper names (leading underscore) are reserved.
+    each get their instant. Columns of df are kept as they are, whatever their names; a column named `out` is replaced.
     Only rows without any zone are shuffled.
     """
-    need(df, [c for c in (text, zone, locale, arrival if estimate else None, source if estimate else None) if c])
+    used = [c for c in (text, zone, locale, arrival if estimate else None, source if estimate else None) if c]
+    need(df, used)
+    columns, given_out, out = df.columns, out, "_out"
+    df = df.toDF(*[f"_c{i}" for i in range(len(columns))])
+    text, zone, locale, arrival, source = (f"_c{columns.index(c)}" if c in used else None for c in (text, zone, locale, arrival, source))
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns) if c.lower() != given_out.lower()], F.col(out).alias(given_out))
+
     known = F.lit(False)
     row_zone = F.lit(None).cast("string")
     if zone:
@@ -173,14 +181,14 @@ def normalise_timestamps(df: DataFrame, text: str = "date", zone: str | None = "
 
     default = F.lit(default_zone)
     if not (estimate and arrival and source):
-        return instant(read(df), default)
+        return named(instant(read(df), default))
     # Only rows whose zone column tells nothing can need an estimate; they are told apart before anything is parsed.
     told = F.coalesce(known, F.lit(False))
     apart = read(df.filter(~told))
     zoneless = F.col("_exact").isNull() & F.col("_local").isNotNull() & written.isNull()
     guess = estimate_zones(apart.filter(zoneless & F.col(source).isNotNull() & F.col(arrival).isNotNull()), source, arrival, default_zone)
     open_rows = instant(apart.join(guess, apart[source] == guess["_source"], "left"), F.coalesce(F.col("_guess"), default)).drop("_source", "_guess")
-    return instant(read(df.filter(told)), default).unionByName(open_rows)
+    return named(instant(read(df.filter(told)), default).unionByName(open_rows))
 
 
 def is_canonical(text: Column) -> Column:

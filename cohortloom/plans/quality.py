@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortloom.functions.common import entity_key
+from cohortloom.functions.common import entity_key, exact
 from cohortloom.operators import features as X, impute as I, orphans as O, parse_errors as P, spikes as S, timestamps as T
 from cohortloom.session import table
 
@@ -65,7 +65,7 @@ def p5_temperature(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assessment_features(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "assessments")
+    a = exact(table(spark, d, "assessments"), ("id", "user_id", "entry_form", "loss_of_smell", "tested_covid_positive", "received_at", "temperature_f"))
     kind = X.assessment_type(F.col("entry_form"), F.col("loss_of_smell"), F.col("tested_covid_positive"))
     temperature = F.when(~F.coalesce(I.missing_number(F.col("temperature_f")), F.lit(True)), F.col("temperature_f"))
     return X.sparse_features(a, entity_key(F.col("user_id")), kind, F.col("received_at"), temperature, record=["id"])
