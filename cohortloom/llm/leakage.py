@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohortloom.functions.common import need
+from cohortloom.functions.common import exact
 
 K, WINDOW = 4, 4
 #: Item fingerprints up to this number are sent to the tasks, which then drop all others before the join.
@@ -160,8 +160,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id",
     The items' fingerprints go to the tasks as a sorted list while there are no more than REDUCER_LIMIT; beyond that
     all fingerprints of documents are joined. Documents of one pair aren't gathered: a row holds one document.
     """
-    need(documents, [doc_key, text])
-    need(items, [item_key, text])
+    documents, items = exact(documents, [doc_key, text]), exact(items, [item_key, text])
     known = fingerprints(items, item_key, text, k, window)
     known = known.select(F.col("key").alias("_item"), F.col("n_words").alias("_n"), F.explode("prints").alias("p")).select("_item", "_n", F.col("p.hash").alias("hash"), F.col("p.pos").alias("_ipos")).distinct()
     hashes = known.select("hash").distinct().limit(REDUCER_LIMIT + 1).toPandas()["hash"].to_numpy(np.int64)

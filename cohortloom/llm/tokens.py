@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.functions.common import fresh, need
+from cohortloom.functions.common import exact, fresh
 from cohortloom.session import checkpoint_dir
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -261,7 +261,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     texts of any length are encoded whole; null keys and repeated rows stay as they are; other columns aren't read.
     `vocabulary` must be readable under the same path on every executor.
     """
-    need(df, [key, text])
+    df = exact(df, [key, text])
     spark = df.sparkSession
     name = Lexicon.build({w: (r,) for w, r in read_ranks(vocabulary).items()}).save(spark)
     out = fresh([key], out)
