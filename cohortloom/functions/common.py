@@ -14,7 +14,7 @@ def strip(c: Column) -> Column:
 
 def entity_key(c: Column) -> Column:
     """A reference as it is compared: trimmed and in lower case; null where nothing is left."""
-    plain = c.rlike("^[0-9a-z]+$")
+    plain = c.rlike(r"^[0-9a-z]+\z")
     key = F.when(plain, c).otherwise(F.lower(strip(c)))
     return F.nullif(key, F.lit(""))
 

@@ -9,15 +9,16 @@ linear in the length of the record, and stays in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cohortloom.functions.common import exact, fresh
+from cohortloom.functions.common import bound, exact, fresh
 
 # What a number of each type looks like once blanks around it are gone.
-INTEGER_TEXT = r"^[+-]?[0-9]+$"
-DECIMAL_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+INTEGER_TEXT = r"^[+-]?[0-9]+\z"
+DECIMAL_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 BLANKS = r"^[\s ]+|[\s ]+$"
 
 #: Stands for a comma that parts cells; no text holds it.
@@ -50,41 +51,45 @@ def _outside(k: Column) -> Column:
     return k % 2 == 0
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often it is used, also inside lambdas."""
+    return F.transform(F.array(value), then)[0]
+
+
 def well_quoted(text: Column) -> Column:
     """Whether each quote of a record opens, closes or is doubled as the format has it."""
-    p = _pieces(text)
-    n = F.size(p)
-    last = n - 1
 
-    def good(x: Column, k: Column) -> Column:
-        opens = x.rlike(r"(^|,) *$")
-        closes = x.rlike(r"^(,|$)")
-        first = (k == 0) & F.when(last == 0, F.lit(True)).otherwise((x == "") | x.rlike(r", *$"))
-        final = (k == last) & closes
-        doubled = (x == "") & (k > 0) & (k < last)
-        between = (k > 0) & (k < last) & closes & opens & (x != "")
-        return ~_outside(k) | first | ((k > 0) & final) | doubled | between
+    def judged(p: Column, last: Column) -> Column:
+        def good(x: Column, k: Column) -> Column:
+            opens = x.rlike(r", *\z")
+            closes = (x == "") | x.startswith(",")
+            first = (k == 0) & F.when(last == 0, F.lit(True)).otherwise((x == "") | opens)
+            final = (k == last) & closes
+            doubled = (x == "") & (k > 0) & (k < last)
+            between = (k > 0) & (k < last) & closes & opens & (x != "")
+            return ~_outside(k) | first | ((k > 0) & final) | doubled | between
 
-    checked = F.transform(p, good)
-    return (n % 2 == 1) & F.forall(checked, lambda ok: ok)
+        return (last % 2 == 0) & F.forall(F.transform(p, good), lambda ok: ok)
+
+    return _once(_pieces(text), lambda p: _once(F.size(p) - 1, lambda last: judged(p, last)))
 
 
 def cells_of(text: Column) -> Column:
     """The cells of a well quoted record, quotes undone, blanks after commas gone. An empty record is one empty cell."""
-    p = _pieces(text)
-    last = F.size(p) - 1
 
-    def put(x: Column, k: Column) -> Column:
-        doubled = (x == "") & (k > 0) & (k < last)
-        return F.when(~_outside(k), x).when(doubled, F.lit('"')).otherwise(F.regexp_replace(x, ", *", PARTING))
+    def joined(p: Column, last: Column) -> Column:
+        def put(x: Column, k: Column) -> Column:
+            doubled = (x == "") & (k > 0) & (k < last)
+            return F.when(~_outside(k), x).when(doubled, F.lit('"')).otherwise(F.regexp_replace(x, ", *", PARTING))
+
+        return F.array_join(F.transform(p, put), "")
 
-    return F.split(F.array_join(F.transform(p, put), ""), PARTING, -1)
+    return F.split(_once(_pieces(text), lambda p: _once(F.size(p) - 1, lambda last: joined(p, last))), PARTING, -1)
 
 
 def _bad(value: Column, kind: Column) -> Column:
     v = F.regexp_replace(value, BLANKS, "")
-    whole = v.rlike(INTEGER_TEXT) & F.expr("true")
-    as_int = F.try_cast(v, "int") if hasattr(F, "try_cast") else v.try_cast("int")
+    whole, as_int = v.rlike(INTEGER_TEXT), v.try_cast("int")
     as_double = v.try_cast("double")
     int_ok = whole & as_int.isNotNull()
     float_ok = v.rlike(DECIMAL_TEXT) & as_double.isNotNull() & (F.abs(as_double) < F.lit(float("inf")))
@@ -106,7 +111,7 @@ def parse_errors(records: DataFrame, layouts: tuple[Layout, ...] = (USERS_CSV, A
     width = F.coalesce(*[F.when(F.col("_file") == x.file_name, F.lit(len(x.columns))) for x in layouts], F.lit(-1))
     base = records.select(F.col(key).alias("_key"), F.col(file).alias("_file"), F.col(text).alias("_text"))
     quoted = F.coalesce(well_quoted(F.col("_text")), F.lit(True))
-    split = base.withColumn("_cells", F.when(F.col("_text").isNotNull() & quoted, cells_of(F.col("_text"))))
+    split = bound(base, "_cells", F.when(F.col("_text").isNotNull() & quoted, cells_of(F.col("_text"))))
     split = split.withColumn("_reason", F.when(F.col("_text").isNull(), "column_count").when(F.col("_cells").isNull(), "quoting").when(F.size("_cells") != width, "column_count"))
     # A record that doesn't split is one cell at place -1, so that one pass reports both kinds of row.
     cells = split.select("_key", "_file", "_reason", F.posexplode(F.when(F.col("_reason").isNull(), F.col("_cells")).otherwise(F.array(F.lit("")))).alias("_pos", "_value"))
@@ -127,7 +132,8 @@ def clean_rows(records: DataFrame, layout: Layout, errors: DataFrame, key: str =
     records = exact(records, (key, file, text))
     own = records.filter(F.col(file) == layout.file_name).filter(F.col(text).isNotNull())
     bad = errors.select(F.col(key).alias("_bad_key")).distinct()
-    good = own.join(bad, own[key].eqNullSafe(bad["_bad_key"]), "left_anti").withColumn("_cells", cells_of(F.col(text)))
+    good = own.join(bad, own[key].eqNullSafe(bad["_bad_key"]), "left_anti")
+    good = bound(good, "_cells", cells_of(F.col(text)))
     out = [F.col(key)]
     for k, (name, kind) in enumerate(layout.columns):
         cell = F.col("_cells")[k]

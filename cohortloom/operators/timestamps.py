@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cohortloom.functions.common import bound, need, strip
 
 #: The writing that is already unambiguous.
-CANONICAL = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{6}\+00:00$"
+CANONICAL = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{6}\+00:00\z"
 
 # Month names by their first letters, English and German.
 MONTHS = {"jan": 1, "feb": 2, "mar": 3, "mär": 3, "mrz": 3, "mae": 3, "apr": 4, "may": 5, "mai": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "okt": 10, "nov": 11, "dec": 12, "dez": 12}
@@ -47,8 +47,8 @@ FORMS = (
     # name of the month, day, year
     (rf"^(?:{WEEKDAY}\.?,? +)?{MONTH_WORD}\.? +(\d{{1,2}})(?:st|nd|rd|th)?,? +(\d{{4}})(?:,?(?: at)?[T ]\s*{TIME}{HALF}{ZONE})?$", f"{MARK}M|$3|$1|$2|$4|$5|$6|$7|$8|$9"),
 )
-SECONDS = r"^\d{9,10}(\.\d{1,9})?$"
-MILLIS = r"^\d{12,13}(\.\d{1,6})?$"
+SECONDS = r"^\d{9,10}(\.\d{1,9})?\z"
+MILLIS = r"^\d{12,13}(\.\d{1,6})?\z"
 
 #: Candidate histories for sources without a zone.
 CANDIDATES = ("America/Los_Angeles", "America/New_York", "America/Sao_Paulo", "Asia/Kolkata", "Asia/Tokyo", "Australia/Sydney", "Europe/Berlin", "Europe/London")
