@@ -5,11 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortloom.functions.common import entity_key, exact, month_of, need
 
 
+def _median(folded: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(names, _stat, _n) of (names, _v, _c). A window holds a group's different values, not its rows."""
+    group = Window.partitionBy(*names)
+    ranked = folded.withColumn("_upto", F.sum("_c").over(group.orderBy("_v"))).withColumn("_all", F.sum("_c").over(group))
+    low, high = F.min(F.when(F.col("_upto") * 2 >= F.col("_all"), F.col("_v"))), F.min(F.when(F.col("_upto") * 2 > F.col("_all"), F.col("_v")))
+    return ranked.groupBy(*names).agg(((low + high) / 2).alias("_stat"), F.sum("_c").alias("_n"))
+
+
+def _mode(folded: DataFrame, names: Sequence[str]) -> DataFrame:
+    return folded.groupBy(*names).agg(F.min_by("_v", F.struct(-F.col("_c"), F.col("_v"))).alias("_stat"), F.sum("_c").alias("_n"))
+
+
 @dataclass(frozen=True)
 class Level:
     """A grouping that may fill: its name, its keys, and the number of present values it must have."""
@@ -44,17 +56,16 @@ def fill_missing(df: DataFrame, record: str, value: str, levels: Sequence[Level]
     number = F.col("_value").cast("double") if whole else F.round(F.col("_value").cast("double"), decimals)
     filled = absent
     choices = []
+    # Counts of each value in each group of all keys at once; every level is folded from them.
+    v = number if kind == "median" else F.col("_value")
+    counted = present.select(*keys, v.alias("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
     for i, level in enumerate(levels):
         names = [n for n in keys if n.startswith(f"_k{i}_")]
-        known = present
+        known = counted
         for n in names:
             known = known.filter(F.col(n).isNotNull())
-        if kind == "median":
-            folded = known.select(*names, number.alias("_v")).groupBy(*names, "_v").agg(F.count("*").alias("_c")) if not names else known.select(*names, number.alias("_v"), F.lit(1).alias("_c"))
-            stat = folded.groupBy(*names).agg(F.percentile("_v", F.lit(0.5), F.col("_c")).alias(f"_s{i}"), F.sum("_c").alias("_n"))
-        else:
-            folded = known.groupBy(*names, "_value").agg(F.count("*").alias("_c"))
-            stat = folded.groupBy(*names).agg(F.min_by("_value", F.struct(-F.col("_c"), F.col("_value"))).alias(f"_s{i}"), F.sum("_c").alias("_n"))
+        folded = known.groupBy(*names, "_v").agg(F.sum("_c").alias("_c"))
+        stat = (_median if kind == "median" else _mode)(folded, names).withColumnRenamed("_stat", f"_s{i}")
         stat = stat.filter(F.col("_n") >= level.support).drop("_n")
         if names:
             stat = stat.select(*[F.col(n).alias(f"{n}_r") for n in names], f"_s{i}")

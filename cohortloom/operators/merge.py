@@ -72,6 +72,20 @@ def ordered_merge_left(left: DataFrame, right: DataFrame, left_on: str, right_on
     return merge(left, assert_unique(right, right_on), left_on, right_on, "left", hint="merge", **more)
 
 
+def ordered_merge_right(left: DataFrame, right: DataFrame, left_on: str, right_on: str, left_unique: bool = False, **more) -> DataFrame:
+    """A right merge onto a left key declared unique, checked while it runs."""
+    if not left_unique:
+        raise ValueError("the left key must be declared unique")
+    return merge(assert_unique(left, left_on), right, left_on, right_on, "right", hint="merge", **more)
+
+
+def ordered_merge_inner(left: DataFrame, right: DataFrame, left_on: str, right_on: str, left_unique: bool = False, right_unique: bool = False, **more) -> DataFrame:
+    """An inner merge; the keys that are declared unique are checked while it runs."""
+    l = assert_unique(left, left_on) if left_unique else left
+    r = assert_unique(right, right_on) if right_unique else right
+    return merge(l, r, left_on, right_on, "inner", hint="merge", **more)
+
+
 def assert_unique(df: DataFrame, key: str) -> DataFrame:
     """df, raising at run time where a key repeats."""
     n = fresh(df, "_count")

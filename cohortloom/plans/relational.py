@@ -404,3 +404,86 @@ def csv_round_trip(spark, d):
     to_csv(table(spark, d, "nation"), folder)
     schema = {"n_nationkey": Field("numeric", "int32", validation_mode="strict"), "n_name": Field("string"), "n_regionkey": Field("numeric", "int32", validation_mode="strict")}
     return read_csv(spark, folder, schema, journal=False)
+
+
+# ---- further forms of the operators above -----------------------------------------------------------------------------
+
+
+@query("select c_mktsegment, o_orderkey, c_custkey is not null as valid_l from customer right join orders on c_custkey = o_custkey")
+def ordered_merge_right(spark, d):
+    return M.ordered_merge_right(table(spark, d, "customer"), table(spark, d, "orders"), "c_custkey", "o_custkey", left_unique=True, left_fields=["c_mktsegment"], right_fields=["o_orderkey"])
+
+
+@query("select c_mktsegment, o_orderkey from customer join orders on c_custkey = o_custkey")
+def ordered_merge_inner(spark, d):
+    return M.ordered_merge_inner(table(spark, d, "customer"), table(spark, d, "orders"), "c_custkey", "o_custkey", left_unique=True, left_fields=["c_mktsegment"], right_fields=["o_orderkey"])
+
+
+@query("select p_partkey, row_number() over (order by p_retailprice, p_partkey) - 1 as position from part")
+def argsort(spark, d):
+    return O.sort_index(table(spark, d, "part"), ["p_retailprice"], "p_partkey")
+
+
+@query("select distinct l_returnflag, l_linestatus from lineitem")
+def groupby_distinct(spark, d):
+    return G.GroupBy(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"]).distinct()
+
+
+@query("select o_custkey, min(o_orderpriority) as o_orderpriority_min, min(o_orderdate) as o_orderdate_min from orders group by 1")
+def groupby_min_text_and_time(spark, d):
+    return G.GroupBy(table(spark, d, "orders"), "o_custkey").min(["o_orderpriority", "o_orderdate"])
+
+
+@query("""
+ with marked as (select event_id, case when row_number() over w > 1 and (event_type is distinct from lag(event_type) over w or user_id is distinct from lag(user_id) over w) then 1 else 0 end as new from events window w as (order by event_id))
+ select event_id, sum(new) over (order by event_id)::bigint as span_id from marked
+""")
+def span_multi_keys(spark, d):
+    return S.with_spans(table(spark, d, "events").select("event_id", "event_type", "user_id"), ["event_type", "user_id"], ["event_id"]).select("event_id", "span_id")
+
+
+@query("with t as (select n_nationkey, case n_nationkey % 4 when 0 then ' Yes' when 1 then 'off' when 2 then '1' else n_name end as v from nation) select n_nationkey, case when lower(trim(v)) in ('1', 'y', 't', 'on', 'yes', 'true') then true when lower(trim(v)) in ('0', 'n', 'f', 'off', 'no', 'false') then false end as parsed from t")
+def parse_bool(spark, d):
+    k = F.col("n_nationkey") % 4
+    v = F.when(k == 0, " Yes").when(k == 1, "off").when(k == 2, "1").otherwise(F.col("n_name"))
+    return table(spark, d, "nation").select("n_nationkey", X.parse_bool(v).alias("parsed"))
+
+
+@query("select record_id, try_cast(nullif(trim(split_part(raw_text, ',', 6)), '') as integer) as height from raw_records where file_name = 'users.csv' and raw_text not like '%\"%' and regexp_full_match(trim(split_part(raw_text, ',', 6)), '[+-]?[0-9]+')")
+def parse_numbers(spark, d):
+    cells = F.split(F.col("raw_text"), ",")
+    raw = table(spark, d, "raw_records").filter((F.col("file_name") == "users.csv") & ~F.col("raw_text").contains('"'))
+    height = X.parse_number(F.try_element_at(cells, F.lit(6)), "int")
+    return raw.select("record_id", height.alias("height")).filter("height is not null")
+
+
+@query("select id, cast(case tested_covid_positive when 1 then 9 when 2 then 0 when 3 then 1 else -1 end as integer) as recoded from (select distinct id, tested_covid_positive from assessments)")
+def category_map(spark, d):
+    codes = X.map_categories({"": 0, "waiting": 1, "no": 2, "yes": 3}, {"": -1, "waiting": 9, "no": 0, "yes": 1})
+    lookup = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
+    a = table(spark, d, "assessments").select("id", "tested_covid_positive").distinct()
+    return a.select("id", F.coalesce(F.try_element_at(lookup, F.col("tested_covid_positive").cast("int")), F.lit(-1)).alias("recoded"))
+
+
+@query("select n_nationkey, coalesce(list_max(list_transform(regexp_extract_all(n_name, 'A+'), lambda x: length(x))), 0)::integer as longest from nation")
+def longest_run(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", X.longest_run(F.col("n_name"), "A").alias("longest"))
+
+
+@query("select id, epoch_us(strptime(date, '%Y-%m-%d %H:%M:%S.%f+00:00')) as at_us from (select distinct id, date from assessments) where regexp_full_match(date, '[0-9-]{10} [0-9:]{8}[.][0-9]{6}[+]00:00')")
+def string_to_datetime(spark, d):
+    a = table(spark, d, "assessments").select("id", "date").distinct().filter(F.col("date").rlike(r"^[0-9-]{10} [0-9:]{8}[.][0-9]{6}[+]00:00\z"))
+    return a.select("id", F.unix_micros(X.string_to_datetime(F.col("date"))).alias("at_us"))
+
+
+@query("select event_id, value from events where value > 50")
+def dataset_copy(spark, d):
+    """A table written to a dataset, copied to another one and read back."""
+    from cohortloom.session import checkpoint_dir
+    from cohortloom.sources.dataset import Session
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/dataset_copy-{abs(hash(d))}"
+    with Session(spark) as s:
+        a, b = s.open_dataset(base + "-a", "w", "a"), s.open_dataset(base + "-b", "w", "b")
+        a["events"] = R.apply_filter(table(spark, d, "events").select("event_id", "value"), F.col("value") > 50)
+        return a.move("events", b, "kept")
