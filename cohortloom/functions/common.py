@@ -19,10 +19,14 @@ def entity_key(c: Column) -> Column:
     return F.nullif(key, F.lit(""))
 
 
+def day_of(ts: Column) -> Column:
+    """The day of an instant in UTC, whatever the session's zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))
+
+
 def month_of(ts: Column) -> Column:
-    """YYYY-MM of an instant in UTC, whatever the session's zone."""
-    days = F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int")
-    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), days), "yyyy-MM")
+    """YYYY-MM of an instant in UTC."""
+    return F.date_format(day_of(ts), "yyyy-MM")
 
 
 def fresh(df: DataFrame | Iterable[str], name: str) -> str:
@@ -56,3 +60,8 @@ def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
     expression into each filter that mentions its result.
     """
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def sealed(df: DataFrame) -> DataFrame:
+    """df behind a one-row generator of all its columns, so that plans that use it in several ways keep it alike and share its shuffles."""
+    return df.select(F.explode_outer(F.array(F.struct(*df.columns))).alias("_sealed")).select("_sealed.*")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortloom.functions.common import entity_key, exact, month_of, need
+from cohortloom.functions.common import day_of, entity_key, exact, need, sealed
 
 
 def _median(folded: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -36,41 +36,45 @@ def missing_number(c: Column) -> Column:
     return c.isNull() | F.isnan(c.cast("double")) | (c <= 0) | (c >= 900)
 
 
-def fill_missing(df: DataFrame, record: str, value: str, levels: Sequence[Level], missing: Column | None = None, kind: str = "median", decimals: int = 2, keep: Sequence[str] = (), only_missing: bool = False) -> DataFrame:
+def fill_missing(df: DataFrame, record: str, value: str, levels: Sequence[Level], missing: Callable[[Column], Column] | None = None, kind: str = "median", decimals: int = 2, keep: Sequence[str] = (), only_missing: bool = False, together: int = 0) -> DataFrame:
     """(record, *keep, original, filled, is_filled, filled_from): the values of df with the missing ones filled.
 
     A missing value takes the median (numbers) or mode (categories) of its group at the first level whose group has
     enough present values; groups with a null key fill nothing. `is_filled` marks what was filled, `filled_from` names
-    the level, or is 'none' where no level could (then `filled` is null). Medians are of values rounded to `decimals`,
-    which bounds the state of a group by the number of different values, and merges map-side, so that a hot group needs
-    no more than a cold one. Only the missing rows are joined with the statistics. Repeated rows (same `record`) count
-    once; the record with null key is kept once; ties of a mode go to the smallest value; an empty table gives none.
+    the level, or is 'none' where no level could (then `filled` is null). Medians are of values rounded to `decimals`.
+    Values are counted per group of all keys first, which merges map-side; every level is folded from those counts, so
+    a hot group is no larger than its number of different values. `together` leading levels are laid out by the keys of
+    the last of them, which must be among those of the others, and so share one shuffle. Only the missing rows are
+    joined with the statistics. Rows that are equal in all columns used count once; ties of a mode go to the smallest
+    value; an empty table gives none.
     """
     need(df, [record, value, *keep])
-    keys = {f"_k{i}_{j}": c for i, level in enumerate(levels) for j, c in enumerate(level.keys)}
-    base = df.select(F.col(record).alias("_record"), F.col(value).alias("_value"), *[c.alias(n) for n, c in keys.items()], *[F.col(c).alias(f"_keep_{c}") for c in keep]).dropDuplicates(["_record"])
-    gone = missing(F.col("_value")) if callable(missing) else missing_number(F.col("_value")) if kind == "median" else F.col("_value").isNull()
+    # An expression that several levels use becomes one column.
+    columns: dict[int, tuple[str, Column]] = {}
+    for level in levels:
+        for c in level.keys:
+            columns.setdefault(id(c), (f"_k{len(columns)}", c))
+    keys = [n for n, _ in columns.values()]
+    base = df.select(F.col(record).alias("_record"), F.col(value).alias("_value"), *[c.alias(n) for n, c in columns.values()], *[F.col(c).alias(f"_keep_{c}") for c in keep]).distinct()
+    gone = missing(F.col("_value")) if missing is not None else missing_number(F.col("_value")) if kind == "median" else F.col("_value").isNull()
     gone = F.coalesce(gone, F.lit(True))
     present, absent = base.filter(~gone), base.filter(gone)
     whole = dict(df.dtypes)[value] in ("tinyint", "smallint", "int", "bigint")
     number = F.col("_value").cast("double") if whole else F.round(F.col("_value").cast("double"), decimals)
     filled = absent
     choices = []
-    # Counts of each value in each group of all keys at once; every level is folded from them.
     v = number if kind == "median" else F.col("_value")
     counted = present.select(*keys, v.alias("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    counted = sealed(counted)  # else each level's filters would go below the counts, and none could be shared
+    laid = counted.repartition(*[columns[id(c)][0] for c in levels[together - 1].keys]) if together else counted
     for i, level in enumerate(levels):
-        names = [n for n in keys if n.startswith(f"_k{i}_")]
-        known = counted
-        for n in names:
-            known = known.filter(F.col(n).isNotNull())
-        folded = known.groupBy(*names, "_v").agg(F.sum("_c").alias("_c"))
+        names = [columns[id(c)][0] for c in level.keys]
+        folded = laid if i < together else counted.groupBy(*names, "_v").agg(F.sum("_c").alias("_c"))
         stat = (_median if kind == "median" else _mode)(folded, names).withColumnRenamed("_stat", f"_s{i}")
         stat = stat.filter(F.col("_n") >= level.support).drop("_n")
         if names:
             stat = stat.select(*[F.col(n).alias(f"{n}_r") for n in names], f"_s{i}")
-            on = [F.col(n) == F.col(f"{n}_r") for n in names]
-            filled = filled.join(stat, on, "left").drop(*[f"{n}_r" for n in names])
+            filled = filled.join(stat, [F.col(n) == F.col(f"{n}_r") for n in names], "left").drop(*[f"{n}_r" for n in names])
         else:
             filled = filled.join(F.broadcast(stat), F.lit(True), "left")  # one row
         choices.append((level.name, F.col(f"_s{i}")))
@@ -103,7 +107,8 @@ def user_levels(support: int = 20) -> tuple[Level, ...]:
 
 def temperature_levels(support: int = 3) -> tuple[Level, ...]:
     """Readings of the same user in the month, then of the same user, then of the month, then all."""
-    user, month = entity_key(F.col("user_id")), month_of(F.col("received_at"))
+    at = day_of(F.col("received_at"))
+    user, month = entity_key(F.col("user_id")), (F.year(at) * 12 + F.month(at)).cast("int")
     return (
         Level("user and month", (user, month), support),
         Level("user", (user,), support),
@@ -117,4 +122,4 @@ def fill_users(users: DataFrame, field: str, only_missing: bool = False) -> Data
 
 
 def fill_temperatures(assessments: DataFrame, only_missing: bool = False) -> DataFrame:
-    return fill_missing(exact(assessments, ("id", "temperature_f", "user_id", "received_at")), "id", "temperature_f", temperature_levels(), only_missing=only_missing)
+    return fill_missing(exact(assessments, ("id", "temperature_f", "user_id", "received_at")), "id", "temperature_f", temperature_levels(), only_missing=only_missing, together=2)
