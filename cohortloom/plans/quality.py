@@ -99,7 +99,21 @@ _P3 = f"""
 _MISSING = "({0} is null or {0} <= 0 or {0} >= 900)"
 _LABELS = "coalesce(entry_form, '') || '/' || case loss_of_smell when 1 then 'False' when 2 then 'True' else '' end || '/' || case tested_covid_positive when 1 then 'waiting' when 2 then 'no' when 3 then 'yes' else '' end"
 
+_FILL = f"""
+ with u as (select distinct id, {{0}} as v, floor(year_of_birth / 10.0)::bigint as born, has_diabetes as ill, lsoa11cd as area, {_MISSING.format("{0}")} as gone from users),
+ p as (select * from u where not gone),
+ l1 as (select born, ill, area, median(v) as m from p where born is not null and ill is not null and area is not null group by all having count(*) >= 20),
+ l2 as (select born, ill, median(v) as m from p where born is not null and ill is not null group by all having count(*) >= 20),
+ l3 as (select born, median(v) as m from p where born is not null group by all having count(*) >= 20),
+ l4 as (select median(v) as m from p)
+ select u.id, u.v as original, case when gone then cast(round(coalesce(l1.m, l2.m, l3.m, l4.m)) as integer) else v end as filled, gone as is_filled,
+  case when not gone then 'self' when l1.m is not null then 'decade, diabetes and area' when l2.m is not null then 'decade and diabetes' when l3.m is not null then 'decade' when l4.m is not null then 'all' else 'none' end as filled_from
+ from u left join l1 on u.born = l1.born and u.ill = l1.ill and u.area = l1.area left join l2 on u.born = l2.born and u.ill = l2.ill left join l3 on u.born = l3.born cross join l4
+"""
+
 ORACLES = {
+    "p5_users_bmi": _FILL.format("bmi"),
+    "p5_users_height": _FILL.format("height_cm"),
     "p3_found": _P3,
     "p3_report": f"select table_name, period, kind, count(*) as n_orphans from ({_P3}) group by all",
     "p5_found": f"""
