@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortloom.functions.common import need
+from cohortloom.functions.common import fresh, need
+
+#: Types beyond the known ones that may become columns.
+TYPES_LIMIT = 2_000
 
 
 def sparse_features(events: DataFrame, entity: Column, type_of: Column, at: Column, value: Column | None = None, record: Sequence[str] | None = None, dedupe: bool = True) -> DataFrame:
@@ -32,6 +35,24 @@ def expand_rows(features: DataFrame) -> DataFrame:
     return features.select("entity", F.explode("vector").alias("x")).select("entity", "x.type", "x.n", "x.last_us", "x.total")
 
 
+def types_of(events: DataFrame, type_of: Column, known: Sequence[str] = (), limit: int = TYPES_LIMIT) -> list[str]:
+    """The known types and then, sorted, all others found in the events. Raises beyond `limit` others, as each becomes columns."""
+    found = events.select(type_of.alias("type")).filter("type is not null").distinct().filter(~F.col("type").isin(list(known))).limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"over {limit} types that aren't known; expand the features into rows")
+    return [*known, *sorted(r["type"] for r in found)]
+
+
+def column_names(names: Iterable[str]) -> list[str]:
+    """The names, lengthened where they only differ in case or are the same."""
+    out: list[str] = []
+    taken: set[str] = set()
+    for name in names:
+        out.append(fresh(taken, name))
+        taken.add(out[-1])
+    return out
+
+
 def expand_columns(features: DataFrame, types: Sequence, names: Sequence[str], parts: Sequence[str] = ("n", "last_us", "total")) -> DataFrame:
     """One column for each type and part. Absent types have count 0 and null elsewhere. No shuffle: each row expands by itself."""
     need(features, ["entity", "vector"])

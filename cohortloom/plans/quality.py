@@ -77,10 +77,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
-    """Count and last time of every kind of assessment as columns, one row for each user."""
-    forms = [f"q{k:02d}" for k in range(1, 29)]
-    types = [f"{f}/{s}/{t}" for f in forms for s in X.SMELL for t in X.TESTED]
-    return X.expand_columns(assessment_features(spark, d), types, [t.replace("/", "_") for t in types], parts=("n", "last_us"))
+    """Count, last time and total of every kind of assessment as columns, one row for each user.
+
+    The kinds of the known forms always have their columns; whatever else the table holds (a new, null or blank form)
+    follows in order of name, so that the counts of a user add up to all of the user's assessments.
+    """
+    a = exact(table(spark, d, "assessments"), ("user_id", "entry_form", "loss_of_smell", "tested_covid_positive"))
+    kind = X.assessment_type(F.col("entry_form"), F.col("loss_of_smell"), F.col("tested_covid_positive"))
+    known = [f"q{k:02d}/{s}/{t}" for k in range(1, 29) for s in X.SMELL for t in X.TESTED]
+    types = X.types_of(a.filter(entity_key(F.col("user_id")).isNotNull()), kind, known)
+    return X.expand_columns(assessment_features(spark, d), types, X.column_names(t.replace("/", "_") for t in types))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clean_users, p1_clean_assessments, p2_found, p3_found, p3_report, p4_found, p5_found, p5_users_bmi, p5_users_height, p5_temperature, p6_found, p6_table)}

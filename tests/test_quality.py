@@ -87,3 +87,25 @@ def test_features_fold_and_expand(spark):
 def test_labels(spark):
     df = spark.createDataFrame([(None, 0, 3), ("q1", 2, None), ("q1", -1, 9)], "f string, s tinyint, t tinyint")
     assert [r[0] for r in df.select(X.assessment_type(F.col("f"), F.col("s"), F.col("t"))).collect()] == ["//yes", "q1/True/", "q1//"]
+
+
+def test_table_of_users_holds_all_kinds_and_totals(spark, tmp_path):
+    from cohortloom.plans import quality
+
+    data = [
+        ("1", " U1 ", "q01", 1, 2, D(2020, 1, 1), 98.5), ("1", " U1 ", "q01", 1, 2, D(2020, 1, 1), 98.5), ("2", "u1", "q01", 1, 2, D(2020, 1, 3), 99.0), ("3", "u1", "q01", 1, 2, D(2020, 1, 2), float("nan")),
+        ("4", "u1", None, None, None, D(2020, 1, 4), 97.0), ("5", "u1", "q29", 2, 3, D(2020, 1, 5), 999.0), ("6", "u1", "Q01", 1, 2, D(2020, 1, 6), 100.0), ("7", "u1", " ", 0, 0, D(2020, 1, 7), None), ("8", None, "q30", 1, 1, D(2020, 1, 8), 98.0),
+    ]
+    spark.createDataFrame(data, "id string, user_id string, entry_form string, loss_of_smell tinyint, tested_covid_positive tinyint, received_at timestamp, temperature_f float").write.parquet(str(tmp_path / "assessments.parquet"))
+    df = quality.p6_table(spark, str(tmp_path))
+    df.write.parquet(str(tmp_path / "out"))
+    (row,) = (r.asDict() for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    us = lambda day: int((D(2020, 1, day) - D(1970, 1, 1)).total_seconds()) * 1_000_000
+    want = {"q01_False_no": (3, us(3), 197.5), "__": (1, us(4), 97.0), "q29_True_yes": (1, us(5), None), "_Q01_False_no": (1, us(6), 100.0), " __": (1, us(7), None)}
+    for name, values in want.items():
+        assert tuple(row[f"{name}__{part}"] for part in ("n", "last_us", "total")) == values
+    assert len(row) == 1 + 3 * (336 + 4) and not any("q30" in c for c in row)
+    assert sum(v for c, v in row.items() if c.endswith("__n")) == 7
+    assert row["q02_False_no__n"] == 0 and row["q02_False_no__total"] is None
+    with pytest.raises(ValueError):
+        X.types_of(spark.range(3), F.col("id").cast("string"), ["0"], limit=1)
