@@ -8,7 +8,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortloom.functions import arithmetic as A, dates as D, text as X
-from cohortloom.operators import aggregate as G, frame as R, journal as J, merge as M, order as O, spans as S
+from cohortloom.functions.common import bound
+from cohortloom.operators import aggregate as G, frame as R, journal as J, merge as M, order as O, parse_errors as P, spans as S
 from cohortloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -457,6 +458,16 @@ def parse_numbers(spark, d):
     return raw.select("record_id", height.alias("height")).filter("height is not null")
 
 
+@query()
+def parse_numbers_all(spark, d):
+    """parse_numbers over every record of users.csv, quoted cells too: null where the cell, or the record, can't be read."""
+    raw = table(spark, d, "raw_records").filter(F.col("file_name") == P.USERS_CSV.file_name)
+    cells = bound(raw, "_cells", F.when(P.well_quoted(F.col("raw_text")), P.cells_of(F.col("raw_text"))))
+    names = [name for name, _ in P.USERS_CSV.columns]
+    height = F.when(F.size("_cells") == len(names), X.parse_number(F.try_element_at("_cells", F.lit(names.index("height_cm") + 1)), "int"))
+    return cells.select("record_id", height.alias("height"))
+
+
 @query("select id, cast(case tested_covid_positive when 1 then 9 when 2 then 0 when 3 then 1 else -1 end as integer) as recoded from (select distinct id, tested_covid_positive from assessments)")
 def category_map(spark, d):
     codes = X.map_categories({"": 0, "waiting": 1, "no": 2, "yes": 3}, {"": -1, "waiting": 9, "no": 0, "yes": 1})

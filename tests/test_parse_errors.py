@@ -82,3 +82,24 @@ def test_long_empty_and_clashing(spark):
 def test_report(spark, as_rows):
     df = spark.createDataFrame([(4, "users.csv", "a,b,c,x,True,170,19.5")] * 2, FIELDS)
     assert [(r.reason, r.fields) for r in P.error_report(P.parse_errors(df)).collect()] == [("bad_value", ["bmi", "year_of_birth"])]
+
+
+def test_heights_of_all_records_equal_state_machine(spark, tmp_path):
+    import re
+
+    from cohortloom.plans import relational
+
+    rng = random.Random(8)
+    cells = ["", "170", '"171"', " 172", '" 173 "', '"1,7"', '"a""b"', "x", "17.5", "9999999999", "-4", '1"7']
+    texts = [",".join(rng.choice(cells) for _ in range(rng.choice([6, 7, 7, 7, 7, 8]))) for _ in range(600)] + ["", None, 'a,"b, c",c,21,"True","170",1990']
+    data = [(i, "users.csv", t) for i, t in enumerate(texts)] + [(9999, "assessments.csv", "a,b,c,d,e,170,f")]
+    spark.createDataFrame(data, FIELDS).write.parquet(str(tmp_path / "raw_records.parquet"))
+
+    def height(text):
+        row = split(text) if text is not None else None
+        if row is None or len(row) != 7 or not re.fullmatch("[+-]?[0-9]+", row[5].strip(" ")):
+            return None
+        return int(row[5]) if abs(int(row[5])) < 2**31 else None
+
+    got = {r.record_id: r.height for r in relational.QUERIES["parse_numbers_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: height(t) for i, t in enumerate(texts)}
