@@ -13,7 +13,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortloom.functions.common import exact
 
@@ -81,8 +81,27 @@ def winnow(g: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(np.arange(len(views)) + window - 1 - np.argmin(views[:, ::-1], axis=1))
 
 
-def fingerprints(df: DataFrame, key: str, text: str, k: int = K, window: int = WINDOW, only: np.ndarray | None = None) -> DataFrame:
-    """(key, n_words, prints: array of (hash, pos)) of each text that has any; `only` drops the hashes it doesn't hold."""
+def least_words(share: float, error_rate: float, k: int = K, window: int = WINDOW) -> int:
+    """From so many words on, winnowing can't miss a stretch of that share of an item: see needed_hits."""
+    slope = share * (1 - error_rate * (k + window - 1))
+    return int((k + window - 2) / slope) + 1 if slope > 0 else 2**31 - 1
+
+
+def needed_hits(n: Column, share: float, error_rate: float, k: int = K, window: int = WINDOW) -> Column:
+    """Fingerprints, at least one, that any stretch of `share` of an item's n words shares at that rate of errors.
+
+    A stretch of L words with e errors is e + 1 runs of L - e words. Each run hides at most k + window - 2 words, and
+    the rest of it holds a fingerprint in each `window` words; with e = error_rate * L the bound grows with L.
+    """
+    free = n * (share * (1 - error_rate * (k + window - 1))) - (k + window - 2)
+    return F.greatest(F.lit(1), F.ceil(free / window - 1e-9))
+
+
+def fingerprints(df: DataFrame, key: str, text: str, k: int = K, window: int = WINDOW, only: np.ndarray | None = None, all_below: int = 0) -> DataFrame:
+    """(key, n_words, prints: array of (hash, pos)) of each text that has any; `only` drops the hashes it doesn't hold.
+
+    Texts of fewer than `all_below` words keep the hashes of all their k-grams.
+    """
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +112,7 @@ def fingerprints(df: DataFrame, key: str, text: str, k: int = K, window: int = W
                 for i, t in enumerate(part.column(1).to_pylist()):
                     words = words_of(t)
                     g = grams(hash_words(words), k)
-                    pos = winnow(g, window)
+                    pos = winnow(g, 1 if len(words) < all_below else window)
                     h = g[pos]
                     if only is not None and len(h):
                         hit = only[np.minimum(np.searchsorted(only, h), len(only) - 1)] == h if len(only) else np.zeros(len(h), bool)
@@ -153,22 +172,28 @@ def longest_stretch(doc_words: list[str], doc_grams: np.ndarray, item_words: lis
 def find_leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", share: float = 0.5, error_rate: float = 0.1, slack: float = 0.04, k: int = K, window: int = WINDOW) -> DataFrame:
     """(doc_key, item_key, stretch, n_words): each document that holds a stretch of at least `share` of an item's words.
 
-    Candidate pairs share fingerprints of at least one in 24 of the item's words (two at least); with one word in ten
-    changed, a stretch of half an item shares more. Candidates are extended in the document's own words; `slack` is
-    added to the error rate and taken off the share, as counts of words round. Defined results: null and empty texts
-    hold and leak nothing; items shorter than k words can't be found; repeated rows count once; tables may be empty.
+    Candidate pairs share as many fingerprints as a stretch of that share and rate must (needed_hits). Winnowing leaves
+    too few for that in short items (up to 40 words by default); these keep all their k-grams, and where there are any,
+    so do the documents. Candidates are extended in the document's own words; `slack` is added to the error rate and
+    taken off the share, as counts of words round. Defined results: null and empty texts hold and leak nothing; a
+    stretch without k unchanged words in a row can't be found (by default: none of items shorter than k words, and in
+    items shorter than 2k - 1 words not every half); repeated rows count once; tables may be empty.
     The items' fingerprints go to the tasks as a sorted list while there are no more than REDUCER_LIMIT; beyond that
     all fingerprints of documents are joined. Documents of one pair aren't gathered: a row holds one document.
     """
     documents, items = exact(documents, [doc_key, text]), exact(items, [item_key, text])
-    known = fingerprints(items, item_key, text, k, window)
+    least = least_words(share, error_rate, k, window)
+    known = fingerprints(items, item_key, text, k, window, all_below=least)
     known = known.select(F.col("key").alias("_item"), F.col("n_words").alias("_n"), F.explode("prints").alias("p")).select("_item", "_n", F.col("p.hash").alias("hash"), F.col("p.pos").alias("_ipos")).distinct()
     hashes = known.select("hash").distinct().limit(REDUCER_LIMIT + 1).toPandas()["hash"].to_numpy(np.int64)
     only = np.sort(hashes.view(np.uint64)) if len(hashes) <= REDUCER_LIMIT else None
-    found = fingerprints(documents, doc_key, text, k, window, only)
+    short = F.col("_n") < least
+    found = fingerprints(documents, doc_key, text, k, window if known.filter(short).isEmpty() else 1, only)
     found = found.select(F.col("key").alias("_doc"), F.explode("prints").alias("p")).select("_doc", F.col("p.hash").alias("hash")).distinct()
     pairs = found.join(known, "hash").groupBy("_doc", "_item").agg(F.count_distinct("_ipos").alias("_hits"), F.max("_n").alias("_n"))
-    pairs = pairs.filter(F.col("_hits") >= F.greatest(F.lit(2), F.ceil(F.col("_n") / 24)))
+    # All k-grams are enough to ask for what the slack leaves; fingerprints are asked for what the share and rate leave.
+    needed = F.when(short, needed_hits(F.col("_n"), share - slack, error_rate + slack, k, 1)).otherwise(needed_hits(F.col("_n"), share, error_rate, k, window))
+    pairs = pairs.filter(F.col("_hits") >= needed)
     item_texts = items.select(F.col(item_key).alias("_item"), F.col(text).alias("_item_text")).filter("_item_text is not null").dropDuplicates(["_item"])
     wanted = pairs.select("_doc", "_item").join(item_texts, "_item").groupBy("_doc").agg(F.collect_list(F.struct("_item", "_item_text")).alias("_items"))
     texts = documents.select(F.col(doc_key).alias("_id"), F.col(text).alias("_text"))

@@ -62,3 +62,21 @@ def test_join_beyond_the_reducer(spark, monkeypatch):
     a = item(60, 9)
     d, i = frames(spark, [(1, " ".join(noise(9, 1) + a), "x"), (2, " ".join(noise(99, 2)), "x")], [(7, " ".join(a))])
     assert [(r.doc_id, r.item_id, r.stretch) for r in L.find_leaks(d, i).collect()] == [(1, 7, 60)]
+
+
+def test_halves_of_items_of_all_lengths(spark):
+    docs, items, want = [], [], set()
+    for n in (4, 5, 6, 7, 8, 12, 16, 20, 30, 40, 41, 60, 100):
+        for seed in range(12):
+            key, words, rng = 1000 * n + seed, noise(n, f"{n}-{seed}"), random.Random(seed)
+            size = n if n < 7 else (n + 1) // 2
+            at = rng.randrange(n - size + 1)
+            half = words[at : at + size]
+            # every other one with one word in ten changed
+            for p in range(5, size - size % 10, 10) if seed % 2 else ():
+                half[p] = "changed"
+            items.append((key, " ".join(words)))
+            docs.append((key, " ".join(noise(40, key + 1) + half + noise(40, key + 2)), "x"))
+            want.add((key, key))
+    d, i = frames(spark, docs, items)
+    assert {(r.doc_id, r.item_id) for r in L.find_leaks(d, i).collect()} == want
