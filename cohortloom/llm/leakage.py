@@ -147,25 +147,33 @@ def stretch(doc: Sequence, item: Sequence, error_rate: float) -> int:
     return best
 
 
-def longest_stretch(doc_words: list[str], doc_grams: np.ndarray, item_words: list[str], error_rate: float, k: int = K, reach: int = 24) -> int:
-    """The longest stretch of an item around any place of the document that shares a k-gram with it."""
+def longest_stretch(doc_words: list[str], doc_grams: np.ndarray, item_words: list[str], error_rate: float, k: int = K, least: float = 1, reach: int = 24) -> int:
+    """The longest stretch of an item around any place of the document that shares a k-gram with it; 0 for one under `least` words, if that is seen early.
+
+    Places up to `reach` words apart are read as one region first, which keeps regions small, and then those as far
+    apart as an item of this length allows: each wrong word spoils k successive k-grams at most. A region with fewer
+    places than a stretch of `least` words has correct k-grams is left out.
+    """
     own = np.unique(grams(hash_words(item_words), k))
     if not len(own) or not len(doc_grams):
         return 0
     at = np.flatnonzero(own[np.minimum(np.searchsorted(own, doc_grams), len(own) - 1)] == doc_grams)
-    if not len(at):
+    due = max(1, least * (1 - error_rate * k) - (k - 1) - 1e-9)
+    if len(at) < due:
         return 0
-    cuts = np.flatnonzero(np.diff(at) > reach) + 1
     best = 0
-    for places in np.split(at, cuts):
-        lo, hi = max(0, int(places[0]) - reach), int(places[-1]) + k + reach
-        # A repeated passage makes a long region; it is read in overlapping parts of a few item lengths.
-        step = 2 * len(item_words) + 2 * reach
-        for start in range(lo, max(lo + 1, hi - reach), step):
-            end = min(hi, start + step + len(item_words) + reach)
-            best = max(best, stretch(doc_words[start:end], item_words, error_rate))
-            if best == len(item_words):
-                return best
+    for reach in sorted({reach, max(reach, k * int(error_rate * len(item_words)) + 1)}):
+        for places in np.split(at, np.flatnonzero(np.diff(at) > reach) + 1):
+            if len(places) < due:
+                continue
+            lo, hi = max(0, int(places[0]) - reach), int(places[-1]) + k + reach
+            # A repeated passage makes a long region; it is read in overlapping parts of a few item lengths.
+            step = 2 * len(item_words) + 2 * reach
+            for start in range(lo, max(lo + 1, hi - reach), step):
+                end = min(hi, start + step + len(item_words) + reach)
+                best = max(best, stretch(doc_words[start:end], item_words, error_rate))
+                if best == len(item_words):
+                    return best
     return best
 
 
@@ -216,7 +224,7 @@ def _extend(share: float, error_rate: float, k: int) -> Callable[[Iterator[pa.Re
                     own = items.get(t)
                     if own is None:
                         own = items[t] = words_of(t)
-                    got = longest_stretch(words, g, own, error_rate, k)
+                    got = longest_stretch(words, g, own, error_rate, k, share * len(own))
                     if own and got >= share * len(own):
                         docs.append(i)
                         found.append(entry["_item"])

@@ -80,3 +80,20 @@ def test_halves_of_items_of_all_lengths(spark):
             want.add((key, key))
     d, i = frames(spark, docs, items)
     assert {(r.doc_id, r.item_id) for r in L.find_leaks(d, i).collect()} == want
+
+
+def test_long_items_with_a_block_replaced(spark):
+    words = noise(300, 1)
+    cases = {1: words[:135] + noise(30, 2) + words[165:], 2: words[:135] + noise(60, 2) + words[195:], 3: words[:140] + words[170:], 4: words[:80] + noise(150, 3) + words[230:]}
+    d, i = frames(spark, [(key, " ".join(noise(80, key + 10) + w + noise(80, key + 20)), "x") for key, w in cases.items()], [(1, " ".join(words))])
+    assert sorted((r.doc_id, r.stretch) for r in L.find_leaks(d, i).collect()) == [(1, 300), (3, 300)]
+
+
+def test_regions_left_out_hold_no_stretch():
+    rng = random.Random(4)
+    for seed in range(300):
+        words = item(rng.randrange(20, 90), seed)
+        doc = [w for w in words[: rng.randrange(5, len(words))] if rng.random() > 0.1] + noise(30, seed) + [w if rng.random() > 0.15 else "x" for w in words]
+        g, least = L.grams(L.hash_words(doc)), 0.46 * len(words)
+        plain, cut = L.longest_stretch(doc, g, words, 0.14), L.longest_stretch(doc, g, words, 0.14, least=least)
+        assert plain == cut or max(plain, cut) < least
