@@ -174,15 +174,18 @@ def _lower(text: str) -> str:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Given names and surnames, in lower case."""
+    """Given names and surnames, in lower case. Any stem with any ending is a surname, too, though it isn't listed."""
 
     given: frozenset[str]
     surnames: frozenset[str]
+    stems: frozenset[str] = frozenset()
+    endings: frozenset[str] = frozenset()
 
     @classmethod
     def of(cls, given: Iterable[str], surnames: Iterable[str], least: int = 3, limit: int = 100_000) -> Lexicon:
         """From names as written. Surnames made of a stem and an ending that each occur in `least` or more names are
-        joined by all other pairs of such stems and endings, as long as those are no more than `limit`."""
+        joined by all other pairs of such stems and endings: up to `limit` pairs are listed, more are put together where
+        a text has them, with the same results."""
         given = frozenset(_lower(x.strip()) for x in given if x and x.strip())
         known = {_lower(x.strip()) for x in surnames if x and x.strip()}
         stems: dict[str, set[str]] = {}
@@ -197,9 +200,9 @@ class Lexicon:
             if cuts:
                 parts.add(max(cuts)[1:])
         a, b = {x for x, _ in parts}, {y for _, y in parts}
-        if len(a) * len(b) <= limit:
-            known |= {x + y for x in a for y in b}
-        return cls(given, frozenset(known))
+        if len(a) * len(b) > limit:
+            return cls(given, frozenset(known), frozenset(a), frozenset(b))
+        return cls(given, frozenset(known | {x + y for x in a for y in b}))
 
 
 class Finder:
@@ -217,6 +220,13 @@ class Finder:
         for s in lexicon.surnames:
             self.automaton.add_word(s, ("surname", len(s)))
         self.automaton.make_automaton()
+        self.stems = None
+        if lexicon.stems:
+            self.stems = ahocorasick.Automaton()
+            for s in lexicon.stems:
+                self.stems.add_word(s, len(s))
+            self.stems.make_automaton()
+        self.ending_sizes = sorted({len(s) for s in lexicon.endings})
 
     def find(self, text: str | None) -> list[tuple[str, int, int]]:
         """(type, start, end) of every place, in order of start; places of one type don't overlap."""
@@ -261,10 +271,25 @@ class Finder:
                 out.append((kind, m.start(), m.end()))
         return out
 
+    def _hits(self, low: str) -> Iterable[tuple[int, tuple[str, int]]]:
+        """(last place, (tag, size)) of listed words and of stems with an ending, by last place, the longest first."""
+        if self.stems is None:
+            return self.automaton.iter(low)
+        hits = list(self.automaton.iter(low))
+        for end, size in self.stems.iter(low):
+            start = end - size + 1
+            if start and (low[start - 1].isalnum() or low[start - 1] in "_.+@-"):
+                continue
+            for more in self.ending_sizes:
+                name = low[start : end + 1 + more]
+                if low[end + 1 : end + 1 + more] in self.lexicon.endings and name not in self.lexicon.surnames:
+                    hits.append((end + more, ("surname", len(name))))
+        return sorted(set(hits), key=lambda x: (x[0], -x[1][1]))
+
     def _words(self, t: str, mails: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         out: list[tuple[str, int, int]] = []
         last = -1
-        for end, (tag, size) in self.automaton.iter(_lower(t)):
+        for end, (tag, size) in self._hits(_lower(t)):
             start, end = end - size + 1, end + 1
             if tag == "surname":
                 if (start and (t[start - 1].isalnum() or t[start - 1] in "_.+@-")) or (end < len(t) and (t[end].isalnum() or t[end] in "_@")):

@@ -70,3 +70,18 @@ def test_frames(spark):
     first, second = (x.split(">")[0] for x in out[1].text.split("<NAME:")[1:])
     assert first == second and out[1].text.startswith("x <NAME:") and out[1].text.endswith(">. ")
     assert P.find_pii(df.limit(0), lx).collect() == []
+
+
+def test_joined_parts_are_found_however_many_they_are():
+    import random
+
+    rng = random.Random(6)
+    stems, endings = ("Thistle", "Quill", "Marrow", "Mar"), ("by", "dale", "wick", "rowby")
+    names = [a + b for a in stems for b in endings if a + b not in ("Quillwick", "Thistledale")] + ["Ruiz", "Thistle"]
+    listed, put_together = (P.Finder(P.Lexicon.of(["Ivo", "Chloé"], names, least=2, limit=limit)) for limit in (100_000, 0))
+    assert put_together.lexicon.stems and "quillwick" not in put_together.lexicon.surnames
+    assert [t[s:e] for t in ["see Ivo Quillwick, x"] for _, s, e in put_together.find(t)] == ["Ivo Quillwick"]
+    words = [*(a + b for a in stems for b in endings), *stems, "Ruiz", "Ivo", "Chloé", "K.", "ivo@quillwick.test", "Quillwicks", "QUILLWICK,", "x", ",", "Weidenstraße 5"]
+    for _ in range(400):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(2, 20)))
+        assert put_together.find(text) == listed.find(text), text
