@@ -156,6 +156,12 @@ SPANISH = ("calle ", "avenida ", "avda. ", "plaza ", "paseo ", "camino ", "rua "
 GIVEN_BEFORE = re.compile(r"(?<![\w.@+-])([^\W\d_][\w'’-]+)((?: [^\W\d_]\.)*) $")
 INITIALS_BEFORE = re.compile(r"(?<![\w.@+-])(?<!\w['’])((?:[^\W\d_]\.[ -]?)*(?:[^\W\d_]\.|[A-ZÀ-Ý])) $")
 GIVEN_AFTER = re.compile(r",? ([^\W\d_]+(?:-[^\W\d_]+)?)(\.?)(?![\w@])")
+SURNAME_AFTER = re.compile(r"(?: [^\W\d_]\.)* ([^\W\d_][\w'’-]*[^\W\d_])(?![\w@])")
+# Titles, and labels of fields that hold a person; where one stands before, one half of a name may be unknown.
+TITLE = r"(?:Mrs?|Ms|Miss|Dr|Prof|Professor|Herr|Frau|Sra?|Mme|Mlle)\.?"
+LABEL = r"(?i:name|holder|author|owner|contact|patient|customer|employee|attn|(?:signed[ -]off|reported|written|prepared|reviewed)[ -]by)"
+PERSON_BEFORE = re.compile(rf"""(?:(?<![\w.@+-]){TITLE} |(?<![^\W_]){LABEL}['"]?\s?[:=]\s?['"]?(?:{TITLE} )?)$""")
+ONLY_TITLE = re.compile(TITLE)
 
 ESCAPED = re.compile(r"(?:\x1b|\\u001[bB])\[[0-9;]*[A-Za-z]|\\[nrt]")
 
@@ -213,6 +219,8 @@ class Finder:
 
         self.lexicon = lexicon
         self.automaton = ahocorasick.Automaton()
+        for s in lexicon.given:
+            self.automaton.add_word(s, ("given", len(s)))
         for s in SPANISH:
             self.automaton.add_word(s, ("spanish", len(s)))
         for s in GERMAN:
@@ -289,8 +297,13 @@ class Finder:
     def _words(self, t: str, mails: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         out: list[tuple[str, int, int]] = []
         last = -1
-        for end, (tag, size) in self._hits(_lower(t)):
+        low, givens = _lower(t), []
+        for end, (tag, size) in self._hits(low):
             start, end = end - size + 1, end + 1
+            if tag == "given" or (tag == "surname" and low[start:end] in self.lexicon.given):
+                givens.append((start, end))
+            if tag == "given":
+                continue
             if tag == "surname":
                 if (start and (t[start - 1].isalnum() or t[start - 1] in "_.+@-")) or (end < len(t) and (t[end].isalnum() or t[end] in "_@")):
                     continue
@@ -308,12 +321,23 @@ class Finder:
                 before = BEFORE_SPANISH.search(t, max(0, start - 24), start)
                 if after:
                     out.append(("address", before.start(1) if before else start, after.end()))
+        taken = [x[1:] for x in [*out, *mails] if x[0] in ("name", "email")]
+        for start, end in givens:
+            after = SURNAME_AFTER.match(t, end)
+            if after and after.group(1)[0].isupper() and self._told(t, start) and not any(a < after.end() and start < b for a, b in taken):
+                out.append(("name", start, after.end()))
         return out
 
+    def _told(self, t: str, start: int) -> bool:
+        """Whether a title or a label tells that a person's name begins here."""
+        return PERSON_BEFORE.search(t, max(0, start - 48), start) is not None
+
     def _name(self, t: str, start: int, end: int) -> tuple[int, int] | None:
         before = GIVEN_BEFORE.search(t, max(0, start - 48), start)
         if before and _lower(before.group(1)) in self.lexicon.given:
             return before.start(1), end
+        if before and before.group(1)[0].isupper() and not ONLY_TITLE.fullmatch(before.group(1)) and self._told(t, before.start(1)):
+            return before.start(1), end
         initials = INITIALS_BEFORE.search(t, max(0, start - 24), start)
         if initials:
             return initials.start(1), end

@@ -85,3 +85,14 @@ def test_joined_parts_are_found_however_many_they_are():
     for _ in range(400):
         text = " ".join(rng.choice(words) for _ in range(rng.randrange(2, 20)))
         assert put_together.find(text) == listed.find(text), text
+
+
+HALF_KNOWN = [
+    ("Dr. Zoltan Ravelthorpe said", ["Zoltan Ravelthorpe"]), ("{'holder': 'Zoltan T. van der Pell'}", ["Zoltan T. van der Pell"]), ("user_name=Ivo Kowalska;", ["Ivo Kowalska"]), ("Author: Prof. Ivo T. Kowalska-Brandt, x", ["Ivo T. Kowalska-Brandt"]),
+    ("Dear Ravelthorpe", []), ("Author: Dr Ravelthorpe", []), ("filename: Ivo Plot", []), ("Ask Ravelthorpe, see Ivo Monday", []), ("Author: Ivo alone", []), ("Author: Ivo Ravelthorpe", ["Ivo Ravelthorpe"]), ("contact: Ivo Kowalska@x.test", []),
+]
+
+
+@pytest.mark.parametrize("text, want", HALF_KNOWN, ids=[t for t, _ in HALF_KNOWN])
+def test_names_with_one_known_half(finder, text, want):
+    assert [text[s:e] for k, s, e in finder.find(text) if k == "name"] == want
