@@ -77,3 +77,14 @@ def test_columns_clash_and_tables_are_empty(spark):
     out = T.normalise_timestamps(df)
     assert out.columns == df.columns and out.collect()[0].utc_us == us(2020, 3, 1, 20, 46, 57)
     assert T.normalise_timestamps(df.limit(0)).collect() == []
+
+
+def test_estimate_knows_all_regions(spark):
+    rows, want = [], {}
+    for user, minutes in (("shanghai", 480), ("nairobi", 180), ("kathmandu", 345), ("kolkata", 330), ("honolulu", -600), ("utc", 0)):
+        for k in range(30):
+            at = datetime(2021, 6, 1) + timedelta(hours=7 * k)
+            want[f"{user}{k}"] = us(at.year, at.month, at.day, at.hour, at.minute)
+            rows.append((f"{user}{k}", (at + timedelta(minutes=minutes)).strftime("%Y-%m-%d %H:%M:%S"), user, at + timedelta(seconds=40 + k), None, "x"))
+    got = {r.id: r.utc_us for r in T.normalise_timestamps(spark.createDataFrame(rows, FIELDS)).collect()}
+    assert got == want
