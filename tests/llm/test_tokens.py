@@ -37,11 +37,38 @@ def test_lexicon_is_exact_and_shares_suffixes():
     place = lx.places(probe)
     ordered = sorted(words)
     assert [ordered[p] if p >= 0 else None for p in place] == [*words, None, None, None, None, None]
-    assert all(list(lx.ids[lx.first[p] : lx.first[p + 1]]) == list(words[w]) for w, p in zip(probe, place) if p >= 0)
-    assert len(lx.table) < sum(map(len, words))
+    assert all(list(lx.ids_of(p)) == list(words[w]) for w, p in zip(probe, place) if p >= 0)
+    assert len(lx.final) < sum(map(len, words)) and len(lx.keys) < sum(map(len, words))
     assert T.Lexicon.build({}).places([b"a"]).tolist() == [-1]
 
 
+def test_lexicon_of_many_words():
+    rng = random.Random(4)
+    words = {bytes(rng.choice(b"abc\x00\xff") for _ in range(rng.randrange(1, 9))): [rng.randrange(99) for _ in range(rng.randrange(4))] for _ in range(3000)}
+    lx = T.Lexicon.build(words)
+    probe = [bytes(rng.choice(b"abc\x00\xff") for _ in range(rng.randrange(10))) for _ in range(3000)] + list(words)
+    for w, p in zip(probe, lx.places(probe)):
+        assert (p >= 0) == (w in words) and (p < 0 or list(lx.ids_of(p)) == words[w])
+
+
+def test_frequent_words_are_counted_over_all_texts(spark):
+    texts = ["the cat the dog", "the  end", None, "", "x" * 100 + " the", "é the"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = {r.word: r.n for r in T.word_counts(df).collect()}
+    assert counts == {None: 12, "the": 2, " cat": 1, " the": 3, " dog": 1, " ": 1, " end": 1, "é": 1} or counts[" the"] == 3
+    total = counts.pop(None)
+    assert total == sum(counts.values()) + 1 and max(map(len, counts)) <= T.LONGEST
+    assert T.frequent_words(df, one_in=6) == sorted(w for w, n in counts.items() if n * 6 >= total)
+    assert T.frequent_words(df.limit(0)) == []
+
+
+def test_ids_do_not_depend_on_the_lexicon(spark, reference):
+    texts = ["the cat the dog the end", "the catalogue"] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for one_in in (1, 3, 1000):
+        assert {r.doc_id: r.ids for r in T.encode_corpus(df, one_in=one_in).collect()} == {i: reference.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_other_columns_and_empty(spark):
     df = spark.createDataFrame([(1, "a", "x"), (None, "b", "y"), (1, "a", "x")], "doc_id bigint, text string, TEXT string")
     assert len(T.encode_corpus(df).collect()) == 3
