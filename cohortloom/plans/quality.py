@@ -40,7 +40,7 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return S.disturbed(S.score_readings(S.temperature_readings(table(spark, d, "assessments")), flagged_only=True))
+    return S.disturbed(S.score_temperatures(table(spark, d, "assessments"), flagged_only=True))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
