@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohortloom.functions.common import exact, fresh
+from cohortloom.functions.common import exact, fresh, sealed
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -318,7 +318,7 @@ def word_counts(df: DataFrame, text: str = "text", longest: int = LONGEST) -> Da
 
 def frequent_words(df: DataFrame, text: str = "text", one_in: int = ONE_IN, longest: int = LONGEST) -> list[str]:
     """The words that are at least one in `one_in` of all words of all texts, sorted; so no more than `one_in` come to the driver."""
-    counts = word_counts(df, text, longest)
+    counts = sealed(word_counts(df, text, longest))  # else the filter for the total would go below the counts, and both would count
     total = counts.filter("word is null").agg(F.sum("n").alias("total"))  # one row
     often = counts.filter("word is not null").crossJoin(F.broadcast(total)).filter(F.col("n") * one_in >= F.col("total"))
     return sorted(r.word for r in often.select("word").collect())
