@@ -1,4 +1,4 @@
-"""One row per entity from events: counts, last times and totals for each type of event."""
+"""One row per entity from events: counts, last times and totals for each type of event, as sparse vectors that merge."""
 
 from __future__ import annotations
 
@@ -6,41 +6,79 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cohortloom.functions.common import fresh, need
+from cohortloom.functions.common import bound, fresh, need
 
-#: Types beyond the known ones that may become columns.
-TYPES_LIMIT = 2_000
+#: Types that a dictionary may hold, and types beyond the known ones that may become columns.
+DICTIONARY_LIMIT, TYPES_LIMIT = 100_000, 2_000
+#: Parts that the events of one entity and type are laid out in.
+SALTS = 16
 
 
-def sparse_features(events: DataFrame, entity: Column, type_of: Column, at: Column, value: Column | None = None, record: Sequence[str] | None = None, dedupe: bool = True) -> DataFrame:
-    """(entity, vector): per entity a sparse vector, as an array of (type, n, last_us, total) sorted by type.
+def types_of(events: DataFrame, type_of: Column, known: Sequence[str] = (), limit: int = DICTIONARY_LIMIT) -> list[str]:
+    """The dictionary of types: the known ones and then, sorted, all others found in the events; a null type is ''.
 
-    `type_of` gives the index of an event's type; any orderable key will do. The vectors are mergeable: first the
-    events are folded per (entity, type) map-side, so that a hot entity sends one row per type and task and no
-    more, then the rows of one entity, at most as many as there are types, are gathered. `record` names the columns by
-    which an exact copy is known; copies count once. Defined results: null entities are left out, null times leave the
-    last time as it is, null values add nothing to a total; no events give no rows.
+    A type's index is its place. Raises beyond `limit` others, as the dictionary goes to every task.
+    """
+    found = events.select(F.coalesce(type_of, F.lit("")).alias("type")).distinct()
+    rows = (found.filter(~F.col("type").isin(list(known))) if known else found).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"over {limit} types that aren't known")
+    return [*known, *sorted(r["type"] for r in rows)]
+
+
+def _dictionary(df: DataFrame, types: Sequence[str]) -> DataFrame:
+    """(type, index), broadcast: at most DICTIONARY_LIMIT rows beyond the known ones."""
+    return F.broadcast(df.sparkSession.createDataFrame([(t, k) for k, t in enumerate(types)], "_name string, _type int"))
+
+
+def _vectors(folded: DataFrame) -> DataFrame:
+    """(entity, vector) from rows (_entity, _type, n, last_us, total), of which several may be of one entity and type."""
+    laid = folded.repartition("_entity")  # both folds below keep to this layout
+    each = laid.groupBy("_entity", "_type").agg(F.sum("n").alias("n"), F.max("last_us").alias("last_us"), F.sum("total").alias("total"))
+    entries = F.sort_array(F.collect_list(F.struct("_type", F.struct("n", "last_us", "total"))))
+    return each.groupBy(F.col("_entity").alias("entity")).agg(F.map_from_entries(entries).alias("vector"))
+
+
+def sparse_features(events: DataFrame, entity: Column, type_of: Column, at: Column, types: Sequence[str], value: Column | None = None, record: Sequence[str] | None = None) -> DataFrame:
+    """(entity, vector): per entity a sparse vector, a map from the index of a type in `types` to (n, last_us, total).
+
+    Events are narrowed to numbers first: the type's index, the time, the value and a 64-bit hash of `record`, the
+    columns by which an exact copy is known (copies of one event, which agree in all else, count once). These rows are
+    laid out by entity, type and a part of the hash, so that a hot entity lies in many tasks; there copies are dropped
+    and events folded without another shuffle, and what the second shuffle moves are at most SALTS rows for each
+    entity and type. Defined results: null entities are left out, a null type counts as '' and types that `types` lacks
+    are left out, null times leave the last time as it is, null values add nothing to a total; no events give no rows.
     """
     value = value if value is not None else F.lit(None).cast("double")
-    cols = {"_entity": entity, "_type": type_of, "_at": F.unix_micros(at), "_value": value.cast("double")}
-    base = events.select(*[F.col(c).alias(f"_r{k}") for k, c in enumerate(record or ())], *[v.alias(k) for k, v in cols.items()]).filter(F.col("_entity").isNotNull())
-    if dedupe and record:
-        base = base.dropDuplicates([f"_r{k}" for k in range(len(record))])
-    folded = base.groupBy("_entity", "_type").agg(F.count("*").alias("n"), F.max("_at").alias("last_us"), F.sum("_value").alias("total"))
-    return folded.groupBy(F.col("_entity").alias("entity")).agg(F.sort_array(F.collect_list(F.struct(F.col("_type").alias("type"), "n", "last_us", "total"))).alias("vector"))
+    own = F.xxhash64(*[F.col(c) for c in record]) if record else F.monotonically_increasing_id()
+    rows = events.select(entity.alias("_entity"), F.coalesce(type_of, F.lit("")).alias("_name0"), F.unix_micros(at).alias("_at"), value.cast("double").alias("_value"), own.alias("_own")).filter(F.col("_entity").isNotNull())
+    rows = rows.join(_dictionary(events, types), F.col("_name0") == F.col("_name")).select("_entity", "_type", F.pmod("_own", F.lit(SALTS)).cast("int").alias("_part"), "_own", "_at", "_value")
+    laid = rows.repartition("_entity", "_type", "_part")
+    once = laid.distinct() if record else laid
+    folded = once.groupBy("_entity", "_type", "_part").agg(F.count("*").alias("n"), F.max("_at").alias("last_us"), F.sum("_value").alias("total"))
+    return _vectors(folded.drop("_part"))
+
+
+def merge_vectors(a: Column, b: Column) -> Column:
+    """The vector of the events of two vectors together."""
+    plus = lambda x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(x + y)
+    return F.map_zip_with(a, b, lambda _, x, y: F.struct(plus(x["n"], y["n"]).alias("n"), F.greatest(x["last_us"], y["last_us"]).alias("last_us"), plus(x["total"], y["total"]).alias("total")))
 
 
-def expand_rows(features: DataFrame) -> DataFrame:
-    """The sparse vectors as rows (entity, type, n, last_us, total)."""
-    return features.select("entity", F.explode("vector").alias("x")).select("entity", "x.type", "x.n", "x.last_us", "x.total")
+def merge_features(*parts: DataFrame) -> DataFrame:
+    """Feature tables of separate events (days, regions) by the same dictionary as one: vectors of an entity are merged."""
+    rows = expand_rows(parts[0])
+    for p in parts[1:]:
+        rows = rows.unionByName(expand_rows(p))
+    return _vectors(rows.select(F.col("entity").alias("_entity"), F.col("type").alias("_type"), "n", "last_us", "total"))
 
 
-def types_of(events: DataFrame, type_of: Column, known: Sequence[str] = (), limit: int = TYPES_LIMIT) -> list[str]:
-    """The known types and then, sorted, all others found in the events. Raises beyond `limit` others, as each becomes columns."""
-    found = events.select(type_of.alias("type")).filter("type is not null").distinct().filter(~F.col("type").isin(list(known))).limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"over {limit} types that aren't known; expand the features into rows")
-    return [*known, *sorted(r["type"] for r in found)]
+def expand_rows(features: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
+    """The sparse vectors as rows (entity, type, n, last_us, total); with the dictionary types come by name."""
+    rows = features.select("entity", F.explode("vector").alias("_type", "_x")).select("entity", "_type", "_x.n", "_x.last_us", "_x.total")
+    if types is None:
+        return rows.withColumnRenamed("_type", "type")
+    return rows.join(_dictionary(features, types), "_type").select("entity", F.col("_name").alias("type"), "n", "last_us", "total")
 
 
 def column_names(names: Iterable[str]) -> list[str]:
@@ -58,14 +96,15 @@ def expand_columns(features: DataFrame, types: Sequence, names: Sequence[str], p
     need(features, ["entity", "vector"])
     if len(types) != len(names):
         raise ValueError("types and names differ in number")
-    lookup = features.select("entity", F.map_from_entries(F.transform("vector", lambda x: F.struct(x["type"], x))).alias("_m"))
+    # The vector is laid out as one dense array, from which each column takes its place.
+    dense = bound(features, "_dense", F.transform(F.sequence(F.lit(0), F.lit(max(len(types) - 1, 0))), lambda k: F.try_element_at(F.col("vector"), k)))
     cols = []
-    for t, name in zip(types, names, strict=True):
-        got = F.try_element_at(F.col("_m"), F.lit(t))
+    for k, name in enumerate(names):
+        got = F.get(F.col("_dense"), F.lit(k))
         for part in parts:
             c = got[part]
             cols.append((F.coalesce(c, F.lit(0)) if part == "n" else c).alias(f"{name}__{part}"))
-    return lookup.select("entity", *cols)
+    return dense.select("entity", *cols)
 
 
 # Labels of the codes.

@@ -21,8 +21,9 @@ INTEGER_TEXT = r"^[+-]?[0-9]+\z"
 DECIMAL_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 BLANKS = r"^[\s ]+|[\s ]+$"
 
-#: Stands for a comma that parts cells; no text holds it.
-PARTING = "\u0000\u0000"
+#: Stands for a comma that parts cells. A text's own ESCAPE is written as ESCAPED within, so that it never holds PARTING.
+ESCAPE = "\x01"
+PARTING, ESCAPED = ESCAPE + "\x02", ESCAPE + "\x03"
 
 
 @dataclass(frozen=True)
@@ -84,7 +85,9 @@ def cells_of(text: Column) -> Column:
 
         return F.array_join(F.transform(p, put), "")
 
-    return F.split(_once(_pieces(text), lambda p: _once(F.size(p) - 1, lambda last: joined(p, last))), PARTING, -1)
+    escaped = F.replace(text, F.lit(ESCAPE), F.lit(ESCAPED))
+    cells = F.split(_once(_pieces(escaped), lambda p: _once(F.size(p) - 1, lambda last: joined(p, last))), PARTING, -1)
+    return F.when(text.contains(ESCAPE), F.transform(cells, lambda c: F.replace(c, F.lit(ESCAPED), F.lit(ESCAPE)))).otherwise(cells)
 
 
 def _bad(value: Column, kind: Column) -> Column:

@@ -41,7 +41,7 @@ def split(s):
 
 def test_split_equals_state_machine(spark):
     rng = random.Random(5)
-    texts = ["".join(rng.choice('ab", \n') for _ in range(rng.randrange(14))) for _ in range(1500)] + ["", '"', '""', '""""', '"""', 'a,""', ' "a"', '"a" ,b', '"a", "b"', 'a\\"b', '"a,b\nc",d', ",", ", ,"]
+    texts = ["".join(rng.choice('ab", \n') for _ in range(rng.randrange(14))) for _ in range(1500)] + ["", '"', '""', '""""', '"""', 'a,""', ' "a"', '"a" ,b', '"a", "b"', 'a\\"b', '"a,b\nc",d', ",", ", ,", "a\x01\x02b,c", "\x01,\x01\x03,\x02\x01", 'x,"\x01\x02"', "a\0\0b,\0"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     from pyspark.sql import functions as F
 

@@ -70,20 +70,75 @@ def test_fill_mode_breaks_ties_downwards(spark):
     assert got == {"3": ("z", "both"), "6": ("z", "all")}
 
 
-def test_features_fold_and_expand(spark):
-    data = [("1", "A ", "x", D(2020, 1, 1), 1.0), ("1", "A ", "x", D(2020, 1, 1), 1.0), ("2", "a", "x", D(2020, 1, 2), None), ("3", "a", "y", None, 2.0), ("4", None, "x", D(2020, 1, 1), 2.0), ("5", " ", "x", D(2020, 1, 1), 2.0)]
-    df = spark.createDataFrame(data, "id string, u string, k string, at timestamp, v double")
+def events(spark):
+    data = [("1", "A ", "x", D(2020, 1, 1), 1.0), ("1", "A ", "x", D(2020, 1, 1), 1.0), ("2", "a", "x", D(2020, 1, 2), None), ("3", "a", "y", None, 2.0), ("4", None, "x", D(2020, 1, 1), 2.0), ("5", " ", "x", D(2020, 1, 1), 2.0), ("6", "b", None, D(2020, 1, 1), None)]
+    return spark.createDataFrame(data, "id string, u string, k string, at timestamp, v double")
+
+
+def features(df, types, **more):
     from cohortloom.functions.common import entity_key
 
-    f = X.sparse_features(df, entity_key(F.col("u")), F.col("k"), F.col("at"), F.col("v"), record=["id"])
-    assert {tuple(r) for r in X.expand_rows(f).collect()} == {("a", "x", 2, 1577923200000000, 1.0), ("a", "y", 1, None, 2.0)}
-    wide = X.expand_columns(f, ["x", "z"], ["x", "z"]).collect()[0].asDict()
+    return X.sparse_features(df, entity_key(F.col("u")), F.col("k"), F.col("at"), types, F.col("v"), **more)
+
+
+def test_features_fold_and_expand(spark):
+    df = events(spark)
+    types = X.types_of(df, F.col("k"), ["x", "z"])
+    assert types == ["x", "z", "", "y"]
+    f = features(df, types, record=["id"])
+    assert {tuple(r) for r in X.expand_rows(f, types).collect()} == {("a", "x", 2, 1577923200000000, 1.0), ("a", "y", 1, None, 2.0), ("b", "", 1, 1577836800000000, None)}
+    assert {(r.entity, r.type, r.n) for r in X.expand_rows(f).collect()} == {("a", 0, 2), ("a", 3, 1), ("b", 2, 1)}
+    wide = X.expand_columns(f, ["x", "z"], ["x", "z"]).filter("entity = 'a'").collect()[0].asDict()
     assert wide == {"entity": "a", "x__n": 2, "x__last_us": 1577923200000000, "x__total": 1.0, "z__n": 0, "z__last_us": None, "z__total": None}
-    assert X.sparse_features(df.limit(0), F.col("u"), F.col("k"), F.col("at")).collect() == []
+    assert {(r.entity, r.n) for r in X.expand_rows(features(df, types), types).filter("type = 'x'").collect()} == {("a", 3)}
+    assert features(df.limit(0), types, record=["id"]).collect() == [] and X.types_of(df.limit(0), F.col("k")) == []
     with pytest.raises(ValueError):
         X.expand_columns(f, ["x"], [])
 
 
+def test_features_of_parts_merge_to_those_of_the_whole(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(str(i), rng.choice(["hot", "hot", "b", "c"]), rng.choice("pqrs"), rng.choice([None, D(2020, 1, rng.randrange(1, 29))]), rng.choice([None, 0.5, 1.5])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, u string, k string, at timestamp, v double")
+    types = X.types_of(df, F.col("k"))
+    whole = features(df, types, record=["id"])
+    halves = [features(df.filter(F.col("id") % 2 == k), types, record=["id"]) for k in (0, 1)]
+    plain = lambda f: sorted(tuple(map(str, r)) for r in X.expand_rows(f, types).collect())
+    want = plain(whole)
+    assert plain(X.merge_features(*halves)) == want
+    a, b = halves[0].withColumnRenamed("vector", "va"), halves[1].withColumnRenamed("vector", "vb")
+    assert plain(a.join(b, "entity").select("entity", X.merge_vectors(F.col("va"), F.col("vb")).alias("vector"))) == want
+    got = {(e, t): (int(n), last) for e, t, n, last, _ in want}
+    for e in ("hot", "b", "c"):
+        for t in "pqrs":
+            own = [r for r in rows if r[1] == e and r[2] == t]
+            last = [int((r[3] - D(1970, 1, 1)).total_seconds()) * 1_000_000 for r in own if r[3]]
+            assert got[(e, t)] == (len(own), str(max(last)))
+    text = whole._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in text and text.count("Exchange hashpartitioning") == 2
+
+
+def test_several_fields_are_filled_as_each_alone(spark):
+    import random
+
+    rng = random.Random(5)
+    data = [(str(i), rng.choice(["a", "b", None]), rng.randrange(3), rng.choice([None, -1, *range(20, 40)]), rng.choice([None, 950.0, *[k / 4 for k in range(80, 99)]])) for i in range(300)]
+    df = spark.createDataFrame(data, "id string, g string, h int, v int, w double")
+    both = {(r.id, r.field): (r.filled, r.filled_from) for r in I.fill_missing(df, "id", ["v", "w"], levels()).collect()}
+    assert len(both) == 600
+    for f in ("v", "w"):
+        assert {(r.id, f): (float(r.filled), r.filled_from) for r in I.fill_missing(df, "id", f, levels()).collect()}.items() <= both.items()
+    assert "SinglePartition" not in I.fill_missing(df, "id", ["v", "w"], levels())._jdf.queryExecution().executedPlan().toString()
+
+
+def test_diabetes_is_filled_by_the_mode(spark):
+    users = spark.createDataFrame([(f"u{i}", 1980, "Z1", 1 if i < 15 else 2) for i in range(40)] + [("n", 1985, "Z1", None), ("z", None, "Z1", 0)], "id string, year_of_birth int, lsoa11cd string, has_diabetes int")
+    got = {r.id: (r.filled, r.filled_from) for r in I.fill_diabetes(users, True).collect()}
+    assert got == {"n": (2, "decade and area"), "z": (2, "all")}
+
+
 def test_labels(spark):
     df = spark.createDataFrame([(None, 0, 3), ("q1", 2, None), ("q1", -1, 9)], "f string, s tinyint, t tinyint")
     assert [r[0] for r in df.select(X.assessment_type(F.col("f"), F.col("s"), F.col("t"))).collect()] == ["//yes", "q1/True/", "q1//"]
@@ -109,3 +164,4 @@ def test_table_of_users_holds_all_kinds_and_totals(spark, tmp_path):
     assert row["q02_False_no__n"] == 0 and row["q02_False_no__total"] is None
     with pytest.raises(ValueError):
         X.types_of(spark.range(3), F.col("id").cast("string"), ["0"], limit=1)
+    assert X.types_of(spark.range(3), F.col("id").cast("string"), ["0"]) == ["0", "1", "2"]
