@@ -26,9 +26,17 @@ def true_divide(a: Column, b: Column) -> Column:
     return F.when(y == 0, by_zero).otherwise(F.try_divide(x, y))
 
 
-def floor_divide(a: Column, b: Column) -> Column:
-    """Rounded towards minus infinity; by zero gives null."""
-    return F.floor(F.try_divide(a.cast("double"), b.cast("double")))
+def floor_divide(a: Column, b: Column, whole: bool = True) -> Column:
+    """Rounded towards minus infinity: of whole numbers exactly, as bigint, by zero null; of floats (whole=False) as double, by zero inf or NaN."""
+    if not whole:
+        x, y = a.cast("double"), b.cast("double")
+        rest = x % F.nullif(y, F.lit(0.0))
+        q = (x - rest) / F.nullif(y, F.lit(0.0)) - F.when((rest != 0) & ((rest < 0) != (y < 0)), 1.0).otherwise(0.0)
+        near = F.when(F.abs(q) < 2.0**53, F.floor(q + 0.5).cast("double")).otherwise(q)  # q is whole but for its own rounding
+        return F.when(y == 0, true_divide(x, y)).when(F.abs(x) == float("inf"), F.lit(float("nan"))).otherwise(near)
+    b = F.nullif(b, F.lit(0))
+    q, rest = F.call_function("div", a, b), a % b
+    return F.when((rest != 0) & ((rest < 0) != (b < 0)), q - 1).otherwise(q)
 
 
 def modulo(a: Column, b: Column) -> Column:
@@ -37,8 +45,8 @@ def modulo(a: Column, b: Column) -> Column:
     return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
 
 
-def divmod_(a: Column, b: Column) -> Column:
-    return F.struct(floor_divide(a, b).alias("quotient"), modulo(a, b).alias("remainder"))
+def divmod_(a: Column, b: Column, whole: bool = True) -> Column:
+    return F.struct(floor_divide(a, b, whole).alias("quotient"), modulo(a, b).alias("remainder"))
 
 
 def both(a: Column, b: Column, boolean: bool = False) -> Column:

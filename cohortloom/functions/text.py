@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# What counts as true and false.
+# What a number looks like, and what counts as true and false.
+INTEGER, DECIMAL = r"^[+-]?[0-9]+\z", r"(?i)^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity|nan)\z"
 TRUE, FALSE = ("1", "y", "t", "on", "yes", "true"), ("0", "n", "f", "off", "no", "false")
 
 
@@ -16,8 +17,7 @@ def parse_bool(c: Column) -> Column:
 def parse_number(c: Column, spark_type: str) -> Column:
     """Null where the text is empty or no number of the type."""
     v = F.trim(c)
-    shape = r"^[+-]?[0-9]+$" if spark_type in ("tinyint", "smallint", "int", "bigint", "decimal(20,0)") else r"^.*[0-9nNfF].*$"
-    return F.when(v.rlike(shape), v.try_cast(spark_type))
+    return F.when(v.rlike(INTEGER if spark_type in ("tinyint", "smallint", "int", "bigint", "decimal(20,0)") else DECIMAL), v.try_cast(spark_type))
 
 
 def parse_timestamp_text(c: Column) -> Column:

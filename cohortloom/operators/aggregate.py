@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cohortloom.functions.common import need
-from cohortloom.operators.order import number_rows
+from cohortloom.operators.order import number_rows, running_sum
+from cohortloom.types import Kind
 
 
 class GroupBy:
@@ -93,47 +94,91 @@ def aggregate_custom(df: DataFrame, key: Sequence[str], function: Callable[[pd.D
     return df.groupBy(*key).applyInPandas(function, schema)
 
 
-def exact_quantiles(df: DataFrame, column: str, fractions: Sequence[float]) -> DataFrame:
-    """(q0, q1, ...): interpolated quantiles of the values that are neither null nor NaN, from a distributed sort."""
-    values = df.select(F.col(column).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    ranked = number_rows(values, [F.col("_v")], "_k")
-    total = ranked.agg(F.count("*").alias("_total"))
-    both = ranked.crossJoin(F.broadcast(total))  # one row
+def exact_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[float]) -> DataFrame:
+    """(field, q0, q1, ...): interpolated quantiles of the values of numeric columns that are neither null nor NaN.
+
+    Values are counted first, so that a hot one is one row, and the counts of all columns pass one distributed sort.
+    """
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("_f"), F.col(c).cast("double").alias("_val")) for k, c in enumerate(columns)])).alias("_x")).select("_x.*")
+    counts = values.filter(F.col("_val").isNotNull() & ~F.isnan("_val")).groupBy("_f", "_val").agg(F.count("*").alias("_count"))
+    upto = running_sum(counts, [F.col("_f"), F.col("_val")], F.col("_count"), "_upto")
+    per = upto.groupBy(F.col("_f").alias("_field")).agg(F.sum("_count").alias("_total"), (F.max("_upto") - F.sum("_count")).alias("_base"))  # a row for each column
+    both = upto.join(F.broadcast(per), F.col("_f") == F.col("_field")).withColumn("_to", F.col("_upto") - F.col("_base"))
     out = []
     for i, q in enumerate(fractions):
         at = F.lit(q) * (F.col("_total") - 1)
         low = F.floor(at)
-        share = F.when(F.col("_k") == low, 1 - (at - low)).when(F.col("_k") == low + 1, at - low)
-        out.append(F.sum(share * F.col("_v")).alias(f"q{i}"))
-    return both.agg(*out)
-
-
-def describe(df: DataFrame, include: Sequence[str] | None = None, exclude: Sequence[str] | None = None, true_quartiles: bool = False) -> DataFrame:
-    """(field, count, [unique, top, freq,] mean, std, min, 25%, 50%, 75%, max), all numbers as text with two decimals.
-
-    Numeric fields have moments (population deviation) and quantiles; text fields have unique, top (of ties the
-    smallest) and freq. The quantiles are by default those at 0.25, 0.5 and 0.75 per cent; `true_quartiles` takes the
-    quartiles. An empty table gives counts of 0 and nulls.
+        inside = lambda k: (F.col("_to") > k) & (F.col("_to") - F.col("_count") <= k)
+        share = F.when(inside(low), 1 - (at - low)).otherwise(0) + F.when(inside(low + 1), at - low).otherwise(0)
+        out.append(F.sum(share * F.col("_val")).alias(f"q{i}"))
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("_f") + 1)
+    return both.groupBy("_f").agg(*out).select(name.alias("field"), *[f"q{i}" for i in range(len(fractions))])
+
+
+def _chosen(df: DataFrame, which, said: str) -> list[str]:
+    """The columns that a name, 'all', a type (a class of pyspark.sql.types) or a list of either stands for."""
+    if which == "all":
+        return df.columns
+    wanted = [which] if isinstance(which, (str, type)) else list(which)
+    names = [w for w in wanted if isinstance(w, str)]
+    kinds = tuple(w for w in wanted if isinstance(w, type))
+    if len(names) + len(kinds) != len(wanted) or names and kinds:
+        raise ValueError(f"{said} takes names or types")
+    found = [f.name for f in df.schema.fields if f.name in names or kinds and isinstance(f.dataType, kinds)]
+    if not found and said == "include":
+        raise ValueError("no such field")
+    return found
+
+
+def describe(df: DataFrame, include=None, exclude=None, true_quartiles: bool = False) -> DataFrame:
+    """(field, count, unique, top, freq, mean, std, min, 25%, 50%, 75%, max), all as text, numbers with two decimals.
+
+    Without `include` all numeric and timestamp fields are described. Both take a field's name, a list of names, a type
+    of pyspark.sql.types or a list of them, include also 'all'; names can't be excluded from names, nor types from
+    types. Numbers, truth values and timestamps (as seconds since 1970) have moments (population deviation) and
+    quantiles; text, and categories by their codes, have unique, top (of ties the smallest) and freq. Quantiles are by
+    default those at 0.25, 0.5 and 0.75 per cent; `true_quartiles` takes the quartiles. Where a NaN is among the values
+    all figures but the count are NaN. An empty table gives counts of 0 and nulls. All numeric fields together take one
+    pass for the moments and one for the quantiles.
     """
-    fields = [f for f in df.schema.fields if (include is None or f.name in include) and (exclude is None or f.name not in exclude)]
+    if include is not None and exclude is not None and include != "all":
+        kind = lambda x: isinstance(x if isinstance(x, (str, type)) else next(iter(x)), str)
+        if kind(include) == kind(exclude):
+            raise ValueError("names can't be excluded from names, nor types from types")
+    measured = lambda f: Kind.of(f).name in ("numeric", "timestamp") and isinstance(f.dataType, (T.NumericType, T.BooleanType, T.TimestampType, T.TimestampNTZType))
+    names = [f.name for f in df.schema.fields if measured(f)] if include is None else _chosen(df, include, "include")
+    gone = set(_chosen(df, exclude, "exclude")) if exclude is not None else set()
+    fields = [f for f in df.schema.fields if f.name in names and f.name not in gone]
+    if not fields:
+        raise ValueError("no field to describe")
+    show = lambda c: F.when(F.isnan(c), "NaN").otherwise(F.call_function("format_number", c, F.lit("0.00")))
     fractions = (0.25, 0.5, 0.75) if true_quartiles else (0.0025, 0.005, 0.0075)
-    show = lambda c: F.call_function("format_number", c.cast("double"), F.lit("0.00"))
+    heads, tails = ("count", "unique", "top", "freq", "mean", "std", "min"), ("25%", "50%", "75%")
     null = F.lit(None).cast("string")
     parts = []
+    numbers = [f for f in fields if measured(f)]
+    if numbers:
+
+        def seconds(f: T.StructField) -> Column:
+            c = F.col(f.name)
+            if isinstance(f.dataType, T.BooleanType):
+                return c.cast("int").cast("double")
+            return F.unix_micros(c.cast("timestamp")) / 1e6 if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) else c.cast("double")
+
+        v = df.select(*[seconds(f).alias(f"_v{k}") for k, f in enumerate(numbers)])
+        moments = v.agg(F.array(*[F.struct(F.lit(f.name).alias("field"), F.count(c := f"_v{k}").alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("lo"), F.max(c).alias("hi")) for k, f in enumerate(numbers)]).alias("x"))
+        moments = moments.select(F.explode("x").alias("x")).select("x.*")
+        q = exact_quantiles(v.toDF(*[f.name for f in numbers]), [f.name for f in numbers], fractions).withColumnRenamed("field", "_qf")
+        both = moments.join(F.broadcast(q), F.col("field") == F.col("_qf"), "left")  # a row for each field
+        tell = lambda c: show(F.when(F.isnan("mean"), F.lit(float("nan"))).otherwise(F.col(c)))
+        parts.append(both.select("field", F.col("n").cast("string").alias("count"), *[null.alias(x) for x in heads[1:4]], tell("mean").alias("mean"), tell("std").alias("std"), tell("lo").alias("min"), *[tell(f"q{i}").alias(t) for i, t in enumerate(tails)], tell("hi").alias("max")))
     for f in fields:
-        c = F.col(f.name)
-        name = F.lit(f.name).alias("field")
-        if isinstance(f.dataType, T.StringType):
-            per = df.groupBy(c.alias("_v")).agg(F.count("*").alias("_n")).filter("_v is not null")
-            one = per.agg(F.sum("_n").alias("count"), F.count("*").alias("unique"), F.min_by("_v", F.struct(-F.col("_n"), F.col("_v"))).alias("top"), F.max("_n").alias("freq"))
-            parts.append(one.select(name, F.coalesce("count", F.lit(0)).cast("string").alias("count"), F.col("unique").cast("string").alias("unique"), "top", F.col("freq").cast("string").alias("freq"), *[null.alias(x) for x in ("mean", "std", "min", "25%", "50%", "75%", "max")]))
-        elif isinstance(f.dataType, T.NumericType):
-            moments = df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("lo"), F.max(c).alias("hi"))
-            q = exact_quantiles(df, f.name, fractions)
-            one = moments.crossJoin(F.broadcast(q))  # one row each
-            parts.append(one.select(name, F.col("count").cast("string").alias("count"), *[null.alias(x) for x in ("unique", "top", "freq")], show(F.col("mean")).alias("mean"), show(F.col("std")).alias("std"), show(F.col("lo")).alias("min"), show(F.col("q0")).alias("25%"), show(F.col("q1")).alias("50%"), show(F.col("q2")).alias("75%"), show(F.col("hi")).alias("max")))
-    if not parts:
-        raise ValueError("no field to describe")
+        if measured(f):
+            continue
+        per = df.groupBy(F.col(f.name).alias("_v")).agg(F.count("*").alias("_n")).filter("_v is not null")
+        one = per.agg(F.sum("_n").alias("count"), F.count("*").alias("unique"), F.min_by("_v", F.struct(-F.col("_n"), F.col("_v"))).alias("top"), F.max("_n").alias("freq"))
+        text = [F.coalesce("count", F.lit(0)), F.col("unique"), F.col("top"), F.col("freq")]
+        parts.append(one.select(F.lit(f.name).alias("field"), *[c.cast("string").alias(n) for c, n in zip(text, heads)], *[null.alias(x) for x in (*heads[4:], *tails, "max")]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

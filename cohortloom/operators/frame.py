@@ -59,6 +59,27 @@ def assign(df: DataFrame, name: str, value: Column, kind: Kind | None = None) ->
     return df.select(*[F.col(c) for c in df.columns if c.lower() != name.lower()], value.cast(kind.spark).alias(name, metadata=kind.metadata()))
 
 
+def empty_like(df: DataFrame, *names: str) -> DataFrame:
+    """No rows, but columns of the names and kinds of df's (all, or those named)."""
+    need(df, names)
+    return (df.select(*names) if names else df).limit(0)
+
+
+def copy_column(source: DataFrame, name: str, target: DataFrame, row: str, to: str | None = None) -> DataFrame:
+    """target with a column of source, kind and all, by equal row numbers; null where source has no such row. A column of that name is replaced."""
+    need(source, [name, row])
+    need(target, [row])
+    kind = source.schema[name].metadata or {}
+    own = source.select(F.col(row).alias("_row"), F.col(name).alias("_copied"))
+    kept = [F.col(c) for c in target.columns if c.lower() != (to or name).lower() or c == row]
+    return target.join(own, F.col(row) == F.col("_row"), "left").select(*kept, F.col("_copied").alias(to or name, metadata=kind))
+
+
+def move_column(source: DataFrame, name: str, target: DataFrame, row: str, to: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(source without the column, target with it)."""
+    return drop(source, name), copy_column(source, name, target, row, to)
+
+
 def astype(df: DataFrame, name: str, nformat: str) -> DataFrame:
     """A numeric column in another format, unchecked: whole numbers wrap around, floats are cut towards zero first."""
     if nformat not in NUMERIC:
@@ -88,18 +109,18 @@ def keys(df: DataFrame, name: str) -> dict[int, str]:
     return {v: k for k, v in Kind.of(df.schema[name]).labels.items()}
 
 
-def encode_categories(c: Column, labels: Mapping[str, int], strict: bool = False) -> Column:
+def encode_categories(c: Column, labels: Mapping[str, int], strict: bool = False, nformat: str = "int8") -> Column:
     """Codes of labels, matched exactly; others, and null, are 0, or raise if strict."""
     code = F.try_element_at(F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))]), F.coalesce(c, F.lit("")))
     other = F.raise_error(F.concat(F.lit("unknown category: "), F.coalesce(c, F.lit("null")))).cast("int") if strict else F.lit(0)
-    return F.coalesce(code, other).cast("tinyint")
+    return F.coalesce(code, other).cast(NUMERIC[nformat])
 
 
-def encode_leaky(c: Column, labels: Mapping[str, int]) -> tuple[Column, Column]:
+def encode_leaky(c: Column, labels: Mapping[str, int], nformat: str = "int8") -> tuple[Column, Column]:
     """Codes, -1 for unknown labels, and the unknown labels as free text ('' elsewhere)."""
     text = F.coalesce(c, F.lit(""))
     code = F.try_element_at(F.create_map(*[x for k, v in labels.items() for x in (F.lit(k), F.lit(v))]), text)
-    return F.coalesce(code, F.lit(-1)).cast("tinyint"), F.when(code.isNull(), text).otherwise("")
+    return F.coalesce(code, F.lit(-1)).cast(NUMERIC[nformat]), F.when(code.isNull(), text).otherwise("")
 
 
 def first_occurrence(df: DataFrame, key: str, row: str, name: str = "is_first") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,6 +12,13 @@ FROM, TO = "j_valid_from", "j_valid_to"
 OPEN_END = "3000-01-01 00:00:00"
 
 
+def journal_datasets(old: Mapping[str, DataFrame], new: Mapping[str, DataFrame], keys: Mapping[str, str]) -> dict[str, DataFrame]:
+    """journal_table for each table that has a key in `keys`. Both datasets must have the same tables."""
+    if set(old) != set(new):
+        raise ValueError(f"the datasets must have the same tables, but have {sorted(old)} and {sorted(new)}")
+    return {name: journal_table(old[name], new[name], key) for name, key in keys.items() if name in set(old)}
+
+
 def journal_table(old: DataFrame, new: DataFrame, key: str, compare: Sequence[str] | None = None, close: bool = True) -> DataFrame:
     """All old versions, and the new row of each key that is new or differs from its latest version in a compared field.
 

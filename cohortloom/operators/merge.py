@@ -105,12 +105,11 @@ def get_index(foreign: DataFrame, primary: DataFrame, foreign_key: str, primary_
 
     Keys that don't exist get 2**62, 2**62 + 1, ... by their first appearance.
     """
-    places = primary.groupBy(F.col(primary_key).alias("_pk")).agg(F.max(primary_row).alias("_at"))
-    found = foreign.join(places, F.col(foreign_key) == F.col("_pk"), "left").drop("_pk")
-    missing = found.filter(F.col("_at").isNull()).groupBy(F.col(foreign_key).alias("_mk")).agg(F.min(foreign_row).alias("_seen"))
-    numbered = number_rows(missing, [F.col("_seen")], "_new").select("_mk", "_new")
-    joined = found.join(numbered, F.col(foreign_key).eqNullSafe(F.col("_mk")) & F.col("_at").isNull(), "left")
-    return joined.withColumn(name, F.coalesce(F.col("_at").cast("bigint"), F.lit(INVALID_INDEX) + F.col("_new"))).drop("_at", "_mk", "_new")
+    places = primary.filter(F.col(primary_key).isNotNull()).groupBy(F.col(primary_key).alias("_pk")).agg(F.max(primary_row).cast("bigint").alias("_at"))
+    seen = foreign.groupBy(F.col(foreign_key).alias("_mk")).agg(F.min(foreign_row).alias("_seen"))
+    missing = seen.join(places, F.col("_mk") == F.col("_pk"), "left_anti")
+    numbered = number_rows(missing, [F.col("_seen")], "_new").select(F.col("_mk").alias("_pk"), (F.lit(INVALID_INDEX) + F.col("_new")).alias("_at"))
+    return foreign.join(places.union(numbered), F.col(foreign_key).eqNullSafe(F.col("_pk")), "left").withColumn(name, F.col("_at")).drop("_at", "_pk")
 
 
 def shared_index(columns: Sequence[tuple[DataFrame, str]], name: str = "shared_index") -> list[DataFrame]:

@@ -31,6 +31,16 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str = "row_number"
     return joined.withColumn(name, F.col("_before") + F.col("_n") - 1).drop("_pid", "_n", "_p", "_before")
 
 
+def running_sum(df: DataFrame, order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """df with the sum of a value over all rows up to each, in the given order, which must settle ties. A table of one row for each partition closes the seams."""
+    laid, _ = _laid_out(df.withColumn("_added", value), order)
+    within = laid.withColumn("_so_far", F.sum("_added").over(Window.partitionBy("_pid").orderBy("_n")))
+    seam = Window.orderBy("_p")  # one row for each partition
+    sums = laid.groupBy(F.col("_pid").alias("_p")).agg(F.sum("_added").alias("_all"))
+    before = sums.select("_p", (F.sum("_all").over(seam) - F.col("_all")).alias("_base"))
+    return within.join(F.broadcast(before), F.col("_pid") == F.col("_p")).withColumn(name, F.col("_base") + F.col("_so_far")).drop("_pid", "_n", "_p", "_base", "_so_far", "_added")
+
+
 def sort_values(df: DataFrame, by: Sequence[str], tie: Sequence[str] = (), ascending: bool = True) -> DataFrame:
     """Rows in order of `by`; `tie` (usually the row's number) makes it stable. Only ascending order is offered."""
     if not ascending:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cohortloom.functions.common import need
 from cohortloom.functions.text import csv_quote
-from cohortloom.operators.order import _laid_out
+from cohortloom.operators.order import _laid_out, running_sum
 
 
 def with_spans(df: DataFrame, keys: Sequence[str], order: Sequence[str], span: str = "span_id", row: str = "row_number") -> DataFrame:
@@ -32,6 +32,35 @@ def with_spans(df: DataFrame, keys: Sequence[str], order: Sequence[str], span: s
     return out.drop("_pid", "_n", "_key", "_new", "_p", "_before", "_base")
 
 
+def last_in_run(df: DataFrame, span: str = "span_id", row: str = "row_number", name: str = "is_last") -> DataFrame:
+    """df (with spans) with whether a row is the last of its span."""
+    ends = df.groupBy(span).agg(F.max(row).alias("_end")).select("_end")
+    return df.join(ends, F.col(row) == F.col("_end"), "left").withColumn(name, F.col("_end").isNotNull()).drop("_end")
+
+
+def span_starts(df: DataFrame, span: str = "span_id", row: str = "row_number", name: str = "start") -> DataFrame:
+    """(start): the first row of each span, and the number of rows as the end of the last: the boundaries of df's spans."""
+    return df.groupBy(span).agg(F.min(row).alias(name)).select(name).union(df.agg((F.max(row) + 1).alias(name)).filter(F.col(name).isNotNull()))
+
+
+def union_spans(*boundaries: DataFrame, name: str = "start") -> DataFrame:
+    """The boundaries of the spans that no boundary of any list crosses: each once."""
+    out = boundaries[0].select(name)
+    for b in boundaries[1:]:
+        out = out.union(b.select(name))
+    return out.filter(F.col(name).isNotNull()).distinct()
+
+
+def spans_from(df: DataFrame, boundaries: DataFrame, row: str = "row_number", name: str = "start", span: str = "span_id") -> DataFrame:
+    """df with the span of each row by a list of boundaries (0, ..., number of rows); its own range-partitioned copy closes the seams.
+
+    A boundary that occurs twice is an empty span, which has no first or least value: that raises.
+    """
+    checked = boundaries.groupBy(name).agg(F.count("*").alias("_times")).select(F.when(F.col("_times") > 1, F.raise_error(F.lit("a span is empty")).cast("bigint")).otherwise(F.col(name)).alias("_start"))
+    marked = df.join(checked, F.col(row) == F.col("_start"), "left")
+    return running_sum(marked, [F.col(row)], F.col("_start").isNotNull().cast("bigint"), span).withColumn(span, F.col(span) - 1).drop("_start")
+
+
 def span_aggregate(df: DataFrame, aggregates: dict[str, tuple[str, str | None]], span: str = "span_id", row: str = "row_number") -> DataFrame:
     """One row for each span: aggregates by output name as (operator, column).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from datetime import datetime
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortloom.functions import arithmetic as A, dates as D, text as X
 from cohortloom.functions.common import bound
 from cohortloom.operators import aggregate as G, frame as R, journal as J, merge as M, order as O, parse_errors as P, spans as S
-from cohortloom.session import table
+from cohortloom.session import checkpoint_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,11 @@ def query(sql: str | None = None) -> Callable:
     return put
 
 
+def _folder(spark: SparkSession, d: str, name: str) -> str:
+    """A folder of the shared one for what a query writes, the same each time it runs over the same tables."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{zlib.crc32(d.encode()):08x}"
+
+
 # ---- filters and columns ----------------------------------------------------------------------------------------------
 
 
@@ -242,9 +248,7 @@ def span_concat(spark, d):
 
 @query(_SPANS + "select event_id, lead(span_id) over (order by event_id) is distinct from span_id as is_last from spans")
 def last_in_run(spark, d):
-    spans = _event_spans(spark, d)
-    ends = spans.groupBy("span_id").agg(F.max("row_number").alias("_end")).select("_end")
-    return spans.join(ends, F.col("row_number") == F.col("_end"), "left").select("event_id", F.col("_end").isNotNull().alias("is_last"))
+    return S.last_in_run(_event_spans(spark, d)).select("event_id", "is_last")
 
 
 @query("select event_id, row_number() over (partition by event_type order by event_id) = 1 as is_first from events")
@@ -398,10 +402,9 @@ def journal_snapshot(spark, d):
 
 @query("select cast(n_nationkey as integer) as n_nationkey, n_name, cast(n_regionkey as integer) as n_regionkey from nation")
 def csv_round_trip(spark, d):
-    from cohortloom.session import checkpoint_dir
     from cohortloom.sources.csv import Field, read_csv, to_csv
 
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/csv_round_trip-{abs(hash(d))}"
+    folder = _folder(spark, d, "csv_round_trip")
     to_csv(table(spark, d, "nation"), folder)
     schema = {"n_nationkey": Field("numeric", "int32", validation_mode="strict"), "n_name": Field("string"), "n_regionkey": Field("numeric", "int32", validation_mode="strict")}
     return read_csv(spark, folder, schema, journal=False)
@@ -490,11 +493,209 @@ def string_to_datetime(spark, d):
 @query("select event_id, value from events where value > 50")
 def dataset_copy(spark, d):
     """A table written to a dataset, copied to another one and read back."""
-    from cohortloom.session import checkpoint_dir
     from cohortloom.sources.dataset import Session
 
-    base = f"{checkpoint_dir(spark).rstrip('/')}/dataset_copy-{abs(hash(d))}"
+    base = _folder(spark, d, "dataset_copy")
     with Session(spark) as s:
         a, b = s.open_dataset(base + "-a", "w", "a"), s.open_dataset(base + "-b", "w", "b")
         a["events"] = R.apply_filter(table(spark, d, "events").select("event_id", "value"), F.col("value") > 50)
         return a.move("events", b, "kept")
+
+
+# ---- importers: text files written first, then read by a schema --------------------------------------------------------
+
+
+def _imported(spark: SparkSession, d: str, name: str, df: DataFrame, fields: dict[str, dict]) -> DataFrame:
+    from cohortloom.sources.csv import read_csv, to_csv
+    from cohortloom.sources.schema import load_schema
+
+    folder = _folder(spark, d, name)
+    to_csv(df, folder)
+    schema = load_schema({"cohortloom": {"version": "1.1.0"}, "schema": {name: {"fields": fields}}})
+    return read_csv(spark, folder, schema[name], journal=False)
+
+
+@query("select c_custkey, case when c_custkey % 5 in (0, 1) then -1.5 else c_acctbal end::double as balance, c_custkey % 5 not in (0, 1) as balance_valid, case when c_custkey % 3 = 0 then -2147483648 else c_nationkey end::integer as nation, c_custkey % 3 <> 0 as nation_known, case when c_custkey % 3 = 0 then 0 else c_nationkey end::smallint as plain, case c_custkey % 4 when 0 then true else false end as flag, c_custkey % 4 < 2 as flag_valid from customer")
+def import_numbers(spark, d):
+    k = F.col("c_custkey")
+    df = table(spark, d, "customer").select(
+        "c_custkey", F.when(k % 5 == 1, "n/a").when(k % 5 == 0, "").otherwise(F.col("c_acctbal").cast("string")).alias("balance"), F.when(k % 3 == 0, "").otherwise(F.col("c_nationkey").cast("string")).alias("nation"),
+        F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("+"), F.col("c_nationkey").cast("string"))).alias("plain"), F.when(k % 4 == 0, "Yes").when(k % 4 == 1, "f").when(k % 4 == 2, "maybe").otherwise("").alias("flag"),
+    )
+    number = lambda kind, **more: {"field_type": "numeric", "value_type": kind, **more}
+    return _imported(spark, d, "import_numbers", df, {
+        "c_custkey": number("int64", validation_mode="strict"), "balance": number("float64", validation_mode="relaxed", invalid_value=-1.5), "nation": number("int32", invalid_value="min", flag_field_name="_known"),
+        "plain": number("int16", create_flag_field=False), "flag": number("bool", validation_mode="relaxed"),
+    })
+
+
+@query("select c_custkey, c_name || ', \"' || c_mktsegment || '\"' as label, substr(c_mktsegment, 1, 6) as short from customer")
+def import_text(spark, d):
+    df = table(spark, d, "customer").select("c_custkey", F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("label"), F.col("c_mktsegment").alias("short"))
+    return _imported(spark, d, "import_text", df, {"c_custkey": {"field_type": "numeric", "value_type": "int64", "validation_mode": "strict"}, "label": {"field_type": "string"}, "short": {"field_type": "fixed_string", "length": 6}})
+
+
+@query("select o_orderkey, case when o_orderkey % 4 = 3 then 0 else epoch_us(date_trunc('second', o_orderdate)) + case when o_orderkey % 4 = 1 then 250000 else 0 end end as at_us, o_orderkey % 4 <> 3 as at_set, case when o_orderkey % 4 = 3 then '' else strftime(o_orderdate, '%Y-%m-%d') end as at_day, epoch_us(date_trunc('day', o_orderdate)) as on_us from orders")
+def import_times(spark, d):
+    k, at = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    text = F.when(k == 0, at).when(k == 1, F.concat(at, F.lit(".250000+00:00"))).when(k == 2, F.concat(at, F.lit("UTC"))).otherwise("")
+    df = table(spark, d, "orders").select("o_orderkey", text.alias("at"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("on"))
+    out = _imported(spark, d, "import_times", df, {"o_orderkey": {"field_type": "numeric", "value_type": "int64", "validation_mode": "strict"}, "at": {"field_type": "datetime", "create_day_field": True, "create_flag_field": True}, "on": {"field_type": "date"}})
+    return out.select("o_orderkey", F.unix_micros("at").alias("at_us"), "at_set", "at_day", F.unix_micros("on").alias("on_us"))
+
+
+@query("select o_orderkey, cast(case o_orderpriority when '1-URGENT' then 1000 when '2-HIGH' then -2 else 0 end as smallint) as priority, cast(case o_orderstatus when 'O' then 1 when 'F' then 2 else -1 end as tinyint) as status, case when o_orderstatus in ('O', 'F') then '' else o_orderstatus end as status_other from orders")
+def import_categories(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"))
+    category = lambda kind, labels, **more: {"field_type": "categorical", "categorical": {"value_type": kind, "strings_to_values": labels, **more}}
+    return _imported(spark, d, "import_categories", df, {"o_orderkey": {"field_type": "numeric", "value_type": "int64", "validation_mode": "strict"}, "priority": category("int16", {"": 0, "1-URGENT": 1000, "2-HIGH": -2}), "status": category("int8", {"": 0, "O": 1, "F": 2}, out_of_range="other")})
+
+
+@query("select r_regionkey::integer as r_regionkey, r_name from region where r_regionkey <> 2")
+def import_set_apart(spark, d):
+    """A file with unreadable lines: the valid ones, by the parse-error operator."""
+    from cohortloom.sources.csv import read_records
+
+    folder = _folder(spark, d, "import_set_apart")
+    lines = table(spark, d, "region").select(F.when(F.col("r_regionkey") == 2, F.concat(F.lit('2,"'), "r_name")).otherwise(F.concat_ws(",", F.col("r_regionkey").cast("string"), "r_name")).alias("value"))
+    spark.createDataFrame([("r_regionkey,r_name",)], "value string").union(lines).coalesce(1).write.mode("overwrite").text(folder)
+    layout = P.Layout("regions", (("r_regionkey", "int"), ("r_name", "string")))
+    records = read_records(spark, folder, "regions")
+    return P.clean_rows(records, layout, P.parse_errors(records, (layout,))).select("r_regionkey", "r_name")
+
+
+# ---- whole results of operators that the queries above show in part ----------------------------------------------------
+
+
+@query("with t as (select o_orderkey, o_orderkey * 1000000000001 - 7 as a from orders), b as (select unnest([7, -7])::bigint as b) select o_orderkey, b, a // b - case when a % b <> 0 and (a % b < 0) <> (b < 0) then 1 else 0 end as quotient, a % b + case when a % b <> 0 and (a % b < 0) <> (b < 0) then b else 0 end as remainder from t, b")
+def arith_divmod(spark, d):
+    """Beyond 2**53, where doubles would round."""
+    a = F.col("o_orderkey") * F.lit(1_000_000_000_001) - 7
+    both = table(spark, d, "orders").select("o_orderkey", a.alias("a"), F.explode(F.array(F.lit(7).cast("bigint"), F.lit(-7).cast("bigint"))).alias("b"))
+    return both.withColumn("x", A.divmod_(F.col("a"), F.col("b"))).select("o_orderkey", "b", "x.quotient", "x.remainder")
+
+
+@query("select l_orderkey, l_linenumber, l_extendedprice / l_quantity as quotient, floor(l_extendedprice / l_quantity) as floored, floor(-l_extendedprice / l_quantity) as floored_down, l_discount = 0 as by_zero from lineitem")
+def arith_quotient(spark, d):
+    x, y = F.col("l_extendedprice"), F.col("l_quantity")
+    by_zero = A.true_divide(y, F.col("l_discount")) == float("inf")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", A.true_divide(x, y).alias("quotient"), A.floor_divide(x, y, whole=False).alias("floored"), A.floor_divide(-x, y, whole=False).alias("floored_down"), by_zero.alias("by_zero"))
+
+
+@query("select c_custkey, case c_custkey % 7 when 0 then 1.5 when 1 then null when 2 then 0.5 when 3 then -200.0 when 4 then null when 5 then 7.0 else null end::double as parsed from customer")
+def parse_floats(spark, d):
+    texts = F.array(*[F.lit(x) for x in ("1.5", "1d", " .5", "-2e2", "0x1p3", "7.", "")])
+    return table(spark, d, "customer").select("c_custkey", X.parse_number(F.element_at(texts, (F.col("c_custkey") % 7 + 1).cast("int")), "double").alias("parsed"))
+
+
+@query("select o_orderkey, case when o_orderkey % 4 = 3 then null else epoch_us(date_trunc('second', o_orderdate)) + case o_orderkey % 4 when 0 then 250000 when 1 then -7200000000 else 0 end end as at_us from orders")
+def string_to_datetime_all(spark, d):
+    """All writings, offsets honoured; other text is null."""
+    k, at = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    text = F.when(k == 0, F.concat(at, F.lit(".250000+00:00"))).when(k == 1, F.concat(at, F.lit("+02:00"))).when(k == 2, at).otherwise("soon")
+    return table(spark, d, "orders").select("o_orderkey", F.unix_micros(X.string_to_datetime(text)).alias("at_us"))
+
+
+@query("select max(o_totalprice) as o_totalprice_max from orders group by o_custkey")
+def groupby_without_keys(spark, d):
+    return G.GroupBy(table(spark, d, "orders"), "o_custkey").max("o_totalprice", write_keys=False)
+
+
+@query("select o_custkey, max(o_totalprice) - min(o_totalprice) as price_range, count(*) as n from orders group by 1")
+def aggregate_custom_groups(spark, d):
+    """A function of one's own over whole groups."""
+    import pandas as pd
+
+    def spread(p: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"o_custkey": p["o_custkey"].head(1), "price_range": p["o_totalprice"].max() - p["o_totalprice"].min(), "n": len(p)})
+
+    return G.aggregate_custom(table(spark, d, "orders").select("o_custkey", "o_totalprice"), ["o_custkey"], spread, "o_custkey bigint, price_range double, n bigint")
+
+
+@query("select coalesce(c_custkey, 0) as c_custkey, coalesce(c_mktsegment, '') as c_mktsegment, coalesce(o_orderkey, 0) as o_orderkey, coalesce(o_totalprice, 0) as o_totalprice, c_custkey is not null as valid_l, o_orderkey is not null as valid_r from (select * from customer where c_custkey % 3 > 0) c full join (select * from orders where o_totalprice > 1000) o on c_custkey = o_custkey")
+def merge_outer_rows(spark, d):
+    """Several rows for a key, and keys that either side lacks."""
+    c, o = table(spark, d, "customer").filter("c_custkey % 3 > 0"), table(spark, d, "orders").filter("o_totalprice > 1000")
+    return M.merge(c, o, "c_custkey", "o_custkey", "outer", ["c_custkey", "c_mktsegment"], ["o_orderkey", "o_totalprice"])
+
+
+@query("select n.n_name as name_l, coalesce(r.r_name, '') as name_r, n.n_nationkey, r.r_name is not null as valid_r from nation n left join (select * from region where r_regionkey < 3) r on n.n_regionkey = r.r_regionkey")
+def merge_suffix_valid(spark, d):
+    n = table(spark, d, "nation").withColumnRenamed("n_name", "name")
+    r = table(spark, d, "region").withColumnRenamed("r_name", "name").filter("r_regionkey < 3")
+    return M.merge(n, r, "n_regionkey", "r_regionkey", "left", ["name", "n_nationkey"], ["name"])
+
+
+@query("select o_custkey as row, o_orderkey, c_mktsegment as segment from orders left join customer on c_custkey = o_custkey")
+def copy_field(spark, d):
+    source = table(spark, d, "customer").select(F.col("c_custkey").alias("row"), "c_mktsegment")
+    return R.copy_column(source, "c_mktsegment", table(spark, d, "orders").select(F.col("o_custkey").alias("row"), "o_orderkey"), "row", "segment")
+
+
+@query("select n_nationkey as row, n_regionkey, n_name as title from nation")
+def move_field(spark, d):
+    nation = table(spark, d, "nation").withColumnRenamed("n_nationkey", "row")
+    rest, moved = R.move_column(nation.select("row", "n_name"), "n_name", nation.select("row", "n_regionkey"), "row", "title")
+    assert rest.columns == ["row"]
+    return moved
+
+
+@query("""
+ with m as (select row_number() over w - 1 as start, event_type is distinct from lag(event_type) over w or user_id is distinct from lag(user_id) over w or event_id = min(event_id) over () as new from events window w as (order by event_id))
+ select start from m where new union all select count(*) from events
+""")
+def span_union(spark, d):
+    events = table(spark, d, "events").select("event_id", "event_type", "user_id")
+    a, b = (S.span_starts(S.with_spans(events, [k], ["event_id"])) for k in ("event_type", "user_id"))
+    return S.union_spans(a, b)
+
+
+@query("select bool_and(coalesce(before <= now, true)) as is_sorted from (select (event_type, event_id) as now, lag((event_type, event_id)) over (order by event_id) as before from events)")
+def is_sorted_multi(spark, d):
+    return O.is_sorted(table(spark, d, "events"), ["event_type", "event_id"], "event_id")
+
+
+_JOURNAL = """
+ select '{0}' as field, * from (
+ with new_rows as (select o_custkey as id, arg_max({0}, o_orderkey) as value from orders group by 1),
+ old_rows as (select o_custkey as id, arg_min({0}, o_orderkey) as value from orders where o_orderkey % 3 = 0 group by 1)
+ select o.id, o.value, 0 as starts, case when n.value is distinct from o.value then 100 else 32503680000 end as ends from old_rows o left join new_rows n using (id)
+ union all select n.id, n.value, 100, 32503680000 from new_rows n left join old_rows o using (id) where o.id is null or n.value is distinct from o.value)
+"""
+
+
+@query(_JOURNAL.format("o_orderstatus") + " union all " + _JOURNAL.format("o_orderpriority"))
+def journal_all_tables(spark, d):
+    orders, at = table(spark, d, "orders"), lambda s: F.timestamp_seconds(F.lit(s))
+    old, new = {}, {}
+    for f in ("o_orderstatus", "o_orderpriority"):
+        old[f] = orders.filter("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("id")).agg(F.min_by(f, "o_orderkey").alias("value")).select("id", "value", at(0).alias("j_valid_from"), at(32503680000).alias("j_valid_to"))
+        new[f] = orders.groupBy(F.col("o_custkey").alias("id")).agg(F.max_by(f, "o_orderkey").alias("value")).select("id", "value", at(100).alias("j_valid_from"))
+    both = J.journal_datasets(old, new, {"o_orderstatus": "id", "o_orderpriority": "id"})
+    parts = [df.select(F.lit(f).alias("field"), "id", "value", F.unix_seconds("j_valid_from").alias("starts"), F.unix_seconds("j_valid_to").alias("ends")) for f, df in both.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query("select event_id, event_type, value from events")
+def dataset_copy_all(spark, d):
+    """Every row of a table, through a dataset into a table made like it in another one."""
+    from cohortloom.sources.dataset import Session
+
+    base = _folder(spark, d, "dataset_copy_all")
+    with Session(spark) as s:
+        a, b = s.open_dataset(base + "-a", "w", "a"), s.open_dataset(base + "-b", "w", "b")
+        a["events"] = table(spark, d, "events").select("event_id", "event_type", "value")
+        b.create_like("kept", a["events"])
+        return b.create("kept", a["events"], "append")
+
+
+_SHOWN = """
+ select '{0}' as field, count({0})::varchar as count, null::varchar as "unique", null::varchar as top, null::varchar as freq, printf('%.2f', avg({1})) as mean, printf('%.2f', stddev_pop({1})) as std, printf('%.2f', min({1})) as min,
+  printf('%.2f', quantile_cont({1}, 0.0025)) as "25%", printf('%.2f', quantile_cont({1}, 0.005)) as "50%", printf('%.2f', quantile_cont({1}, 0.0075)) as "75%", printf('%.2f', max({1})) as max from orders
+"""
+
+
+@query(_SHOWN.format("o_orderkey", "o_orderkey::double") + " union all " + _SHOWN.format("o_custkey", "o_custkey::double") + " union all " + _SHOWN.format("o_totalprice", "o_totalprice") + " union all " + _SHOWN.format("o_orderdate", "epoch(o_orderdate)::double"))
+def describe_default(spark, d):
+    """All numeric and time fields."""
+    return G.describe(table(spark, d, "orders"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> S
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("COHORTLOOM_DRIVER_MEMORY", "12g"),
@@ -27,11 +30,17 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> S
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a temporary one only where none is set (tests)."""
+    """The folder all executors share, as the cluster names it. Where none is set, a local session (tests) gets one that goes when it ends; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="cohortloom-checkpoint-")
+        if set_before.isDefined():
+            folder = set_before.get()
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            folder = tempfile.mkdtemp(prefix="cohortloom-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -23,19 +23,20 @@ class Field:
 
     kind: string, fixed_string, numeric, categorical, datetime or date. Numeric fields take a validation mode (strict:
     empty or unreadable text raises; allow_empty: unreadable raises; relaxed: neither does), an invalid value (a
-    number, 'min' or 'max') and get a flag column `<name><flag_suffix>` unless strict. Categorical fields take labels,
-    and with `out_of_range` put unknown labels as text into `<name>_<out_of_range>`. Datetime and date fields get
-    `<name>_set`, and with day `<name>_day`.
+    number, 'min' or 'max') and get a flag column `<name><flag_suffix>` unless strict or flag is False. Categorical
+    fields take labels, and with `out_of_range` put unknown labels as text into `<name>_<out_of_range>`. Datetime and
+    date fields get `<name>_set` only with flag=True, and with day `<name>_day`. The format is int32 for numbers and
+    int8 for categories unless given.
     """
 
     kind: str
-    nformat: str = "int32"
+    nformat: str = ""
     strlen: int = 0
     labels: Mapping[str, int] = field(default_factory=dict)
     out_of_range: str | None = None
     validation_mode: str = "allow_empty"
     invalid_value: float | str = 0
-    flag: bool = True
+    flag: bool | None = None
     flag_suffix: str = "_valid"
     day: bool = False
     strict_labels: bool = False
@@ -43,8 +44,14 @@ class Field:
     def __post_init__(self) -> None:
         if self.kind not in ("string", "fixed_string", "numeric", "categorical", "datetime", "date"):
             raise ValueError(f"unknown field type {self.kind!r}")
-        if self.kind == "numeric" and (self.nformat not in NUMERIC or self.validation_mode not in MODES):
+        if not self.nformat:
+            object.__setattr__(self, "nformat", "int8" if self.kind == "categorical" else "int32")
+        if self.flag is None:
+            object.__setattr__(self, "flag", self.kind == "numeric")
+        if self.kind in ("numeric", "categorical") and (self.nformat not in NUMERIC or self.validation_mode not in MODES):
             raise ValueError(f"unknown format {self.nformat!r} or validation mode {self.validation_mode!r}")
+        if self.kind == "numeric" and self.nformat == "bool" and isinstance(self.invalid_value, str) and self.invalid_value.strip() in ("min", "max"):
+            raise ValueError("a bool has no least or greatest value to stand for invalid ones")
 
 
 def _raise(name: str, c: Column, spark_type: str) -> Column:
@@ -59,11 +66,11 @@ def typed(name: str, f: Field) -> list[Column]:
     if f.kind == "fixed_string":
         return [X.cut_bytes(raw, f.strlen).alias(name, metadata=Kind("fixed_string", strlen=f.strlen).metadata())]
     if f.kind == "categorical":
-        kind = Kind("categorical", "int8", 0, dict(f.labels))
+        kind = Kind("categorical", f.nformat, 0, dict(f.labels))
         if f.out_of_range:
-            code, other = encode_leaky(raw, f.labels)
+            code, other = encode_leaky(raw, f.labels, f.nformat)
             return [code.alias(name, metadata=kind.metadata()), other.alias(f"{name}_{f.out_of_range}")]
-        return [encode_categories(raw, f.labels, f.strict_labels).alias(name, metadata=kind.metadata())]
+        return [encode_categories(raw, f.labels, f.strict_labels, f.nformat).alias(name, metadata=kind.metadata())]
     if f.kind == "numeric":
         spark_type = NUMERIC[f.nformat].simpleString()
         value = X.parse_bool(raw) if f.nformat == "bool" else X.parse_number(raw, spark_type)
@@ -85,7 +92,9 @@ def typed(name: str, f: Field) -> list[Column]:
     empty = raw == ""
     value = X.parse_timestamp_text(raw) if f.kind == "datetime" else F.try_to_timestamp(raw, F.lit("yyyy-MM-dd"))
     got = F.when(empty, F.timestamp_seconds(F.lit(0))).otherwise(F.coalesce(value, _raise(name, raw, "timestamp")))
-    out = [got.alias(name, metadata=Kind("timestamp").metadata()), (~empty).alias(f"{name}_set")]
+    out = [got.alias(name, metadata=Kind("timestamp").metadata())]
+    if f.flag:
+        out.append((~empty).alias(f"{name}_set"))
     if f.day:
         out.append((F.substring(raw, 1, 10) if f.kind == "datetime" else raw).alias(f"{name}_day"))
     return out
@@ -99,22 +108,60 @@ def guess_encoding(head: bytes) -> str:
     return "UTF-8"
 
 
-def read_text_columns(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """guess_encoding of a file, or of the first file of a folder."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.globStatus(where) or []
+    files = [x.getPath() for f in found for x in (fs.listStatus(f.getPath()) if f.isDirectory() else [f]) if not x.isDirectory() and not x.getPath().getName().startswith(("_", "."))]
+    if not files:
+        return "UTF-8"
+    stream = fs.open(sorted(files, key=lambda p: p.toString())[0])
+    try:
+        head = [stream.read() for _ in range(4)]
+    finally:
+        stream.close()
+    return guess_encoding(bytes(x for x in head if x >= 0))
+
+
+def breaks_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some cell of a file holds a line break: then some line of it has an odd number of quotes. One pass over the text, in splits."""
+    return not spark.read.text(path).filter(F.length("value") % 2 != F.length(F.replace("value", F.lit('"'), F.lit(""))) % 2).limit(1).isEmpty()
+
+
+def read_text_columns(spark: SparkSession, path: str, encoding: str | None = None, line_breaks: bool | None = None) -> DataFrame:
     """All columns of a delimited file as text: quotes doubled, line breaks inside quotes, blanks after commas skipped.
 
-    Malformed rows fail the read; load them through the parse-error operator instead. Files with line breaks inside
-    quotes can't be split, so large inputs should come as many files.
+    Where nothing is said, the encoding is guessed from the first bytes, and the file looked through for cells with
+    line breaks: only with such cells can't it be split among tasks. Malformed rows fail the read; read_records takes
+    them apart instead.
     """
-    df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=False, inferSchema=False, mode="FAILFAST", encoding=encoding, nullValue="\u0000", emptyValue="")
+    encoding = encoding or encoding_of(spark, path)
+    if line_breaks is None:
+        line_breaks = encoding != "UTF-8" or breaks_lines(spark, path)
+    df = spark.read.csv(path, header=True, multiLine=line_breaks, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=False, inferSchema=False, mode="FAILFAST", encoding=encoding, nullValue="\u0000", emptyValue="")
     return df.toDF(*[c.strip() for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, schema: Mapping[str, Field], include: Sequence[str] | None = None, exclude: Sequence[str] | None = None, timestamp: datetime | None = None, journal: bool = True, encoding: str = "UTF-8") -> DataFrame:
+def read_records(spark: SparkSession, path: str, file_name: str) -> DataFrame:
+    """(record_id, file_name, raw_text): the lines of a file as records that aren't read yet, for operators.parse_errors.
+
+    The line that names the columns is left out, wherever it occurs; ids are unique, in order of the file, not dense. A
+    cell with a line break makes two records of bad quoting.
+    """
+    lines = spark.read.text(path)
+    head = lines.limit(1).collect()
+    kept = lines.filter(F.col("value") != head[0].value) if head else lines
+    return kept.select(F.monotonically_increasing_id().alias("record_id"), F.lit(file_name).alias("file_name"), F.col("value").alias("raw_text"))
+
+
+def read_csv(spark: SparkSession, path: str, schema: Mapping[str, Field], include: Sequence[str] | None = None, exclude: Sequence[str] | None = None, timestamp: datetime | None = None, journal: bool = True, encoding: str | None = None, line_breaks: bool | None = None) -> DataFrame:
     """A file typed by a schema. Columns the schema doesn't know come as text; with journal, rows get their validity times."""
     clash = {FROM, TO} & set(schema)
     if clash:
         raise ValueError(f"{sorted(clash)} are reserved names")
-    df = read_text_columns(spark, path, encoding)
+    df = read_text_columns(spark, path, encoding, line_breaks)
     for names in (include, exclude):
         need(df, names or ())
     columns = [c for c in df.columns if (include is None or c in include) and c not in (exclude or ())]

@@ -65,6 +65,10 @@ class Dataset:
         """The table, made empty with the columns of another one if it isn't there."""
         return self[name] if name in self else self.create(name, like.limit(0))
 
+    def create_like(self, name: str, like: DataFrame) -> DataFrame:
+        """A new, empty table with the columns and kinds of another one. Raises where there is one of that name."""
+        return self.create(name, like.limit(0))
+
     def drop(self, name: str) -> None:
         self._writable()
         if name not in self:

@@ -26,16 +26,23 @@ def load_schema(source: str | Path | IO[str] | Mapping) -> dict[str, dict[str, F
 
 
 def _field(name: str, x: Mapping) -> Field:
-    kind = x.get("field_type")
+    def needed(part: Mapping, key: str):
+        if key not in part:
+            raise ValueError(f"field {name}: {key!r} is missing")
+        return part[key]
+
+    kind = needed(x, "field_type")
     if kind == "categorical":
-        c = x["categorical"]
-        return Field(kind, labels=c["strings_to_values"], out_of_range=c.get("out_of_range"))
+        c = needed(x, "categorical")
+        # The presence of out_of_range counts, whatever it holds; a text names the column.
+        other = (c["out_of_range"] if isinstance(c["out_of_range"], str) and c["out_of_range"] else "freetext") if "out_of_range" in c else None
+        return Field(kind, needed(c, "value_type"), labels=needed(c, "strings_to_values"), out_of_range=other)
     if kind == "fixed_string":
-        return Field(kind, strlen=int(x["length"]))
+        return Field(kind, strlen=int(needed(x, "length")))
     if kind == "numeric":
-        return Field(kind, x["value_type"], validation_mode=x.get("validation_mode", "allow_empty"), invalid_value=x.get("invalid_value", 0), flag=x.get("create_flag_field", True), flag_suffix=x.get("flag_field_suffix", "_valid"))
+        return Field(kind, needed(x, "value_type"), validation_mode=x.get("validation_mode", "allow_empty"), invalid_value=x.get("invalid_value", 0), flag=x.get("create_flag_field", True), flag_suffix=x.get("flag_field_name", "_valid"))
     if kind in ("datetime", "date"):
-        return Field(kind, day=bool(x.get("create_day_field", False)))
+        return Field(kind, day=bool(x.get("create_day_field", False)), flag=bool(x.get("create_flag_field", False) or x.get("optional", False)))
     if kind == "string":
         return Field(kind)
     raise ValueError(f"field {name}: unknown type {kind!r}")

@@ -42,7 +42,7 @@ def test_every_reading_has_a_score(spark):
 
 def test_the_forest_decides(spark):
     """A fever's peak lies a jump away, for one reading; only the forest tells it from a spike. A stuck run needs its score, too."""
-    df = frame(spark, {"fever": put(readings(60, 8), _30=99.5, _31=101.0, _32=102.6, _33=101.2, _34=99.4), "spike": put(readings(60), _30=102.6), "stuck": put(readings(60, 4), **{f"_{k}": 98.25 for k in range(20, 28)})})
+    df = frame(spark, {"fever": put(readings(60, 8), _30=99.5, _31=101.0, _32=102.3, _33=101.2, _34=99.4), "spike": put(readings(60), _30=102.6), "stuck": put(readings(60, 4), **{f"_{k}": 98.25 for k in range(20, 28)})})
     flagged = lambda **more: {r.id for r in S.score_readings(df, flagged_only=True, **more).collect()}
     stuck = {f"stuck-{k}" for k in range(20, 28)}
     assert flagged() == {"spike-30"} | stuck
