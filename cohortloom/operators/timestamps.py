@@ -2,17 +2,20 @@
 
 Every writing is first rewritten by a chain of anchored patterns into one delimited form (kind, numbers, zone), then
 read once from that form. Zones written in the text decide, then the zone column. Where both are absent the zone is
-estimated per source: each candidate history of offsets is laid over the source's local times, and the history that
-puts the fewest instants after their arrival, or further before it than usual, is taken; ties go to the default.
+estimated per source and period: local times are aligned with their arrivals, or with the arrivals before and after
+them in sequence, and of all offset histories (regions with their daylight-saving changes, and changes of region from
+one period to another) the one is taken that violates this alignment least; where the default does well, it stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from cohortloom.functions.common import bound, need, strip
+from cohortloom.functions.common import bound, need, sealed, strip
 
 #: The writing that is already unambiguous.
 CANONICAL = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{6}\+00:00\z"
@@ -97,7 +100,7 @@ def read_writing(df: DataFrame, text: str, locale: str | None) -> DataFrame:
     month_first = F.coalesce(F.col(locale) == "en_US", F.lit(False)) if locale else F.lit(False)
     form = F.when(F.col(text).isNotNull() & ~canonical, _rewritten(F.array(strip(F.col(text)))))[0]
     df = bound(df, "_form", form)
-    df = bound(df, "_part", F.when(F.col("_form").startswith(MARK), F.split(F.substring("_form", 2, 400), r"\|", -1)))
+    df = bound(df, "_part", F.when(F.col("_form").startswith(MARK), F.split(F.substring("_form", 2, 2**31 - 1), r"\|", -1)))
     df = bound(df, "_read", F.when(F.col("_part").isNotNull(), _from_parts(F.col("_part"), month_first)))
     other = F.col("_part").isNull() & F.col("_form").isNotNull()
     number = F.when(F.col("_form").rlike(SECONDS), F.col("_form").try_cast("decimal(30,9)") * 1_000_000).when(F.col("_form").rlike(MILLIS), F.col("_form").try_cast("decimal(30,9)") * 1000)
@@ -121,43 +124,111 @@ def _in_zone(local: Column, zone: Column) -> Column:
     return F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), zone))
 
 
-def estimate_zones(rows: DataFrame, source: str, arrival: str, default_zone: str = "UTC", candidates: Sequence[str] = CANDIDATES, min_rows: int = 20, slack_s: int = 120) -> DataFrame:
-    """(source, zone) for the sources whose local times the default history fits clearly worse than another.
+DAY_US, MINUTE_US = 86_400_000_000, 60_000_000
 
-    A violation is an instant after its arrival (beyond slack_s), or one whose lag is over half an hour: a history
-    that is too far west puts instants into the future, one too far east puts all of them hours back. Counts are
-    aggregated map-side, so a hot source sends only a row per task and candidate. Another history replaces the default
-    only with at least min_rows rows and under half of the default's violations, and where the default fits under half
-    of the rows; only rows of such sources are tried with all candidates. Of histories with as few violations, the one
-    that is nearest to the arrivals counts, then the first.
+
+def _period(local: Column, days: int) -> Column:
+    return F.floor(local / F.lit(days * DAY_US)).cast("int")
+
+
+def _aligned(rows: DataFrame, source: str, arrival: str, sequence: str | None, late_min: int, period_days: int) -> DataFrame:
+    """(_source, _local, _low, _high): minutes from the local time to the earliest and latest instant it may stand for.
+
+    A row's own arrival bounds it; without one, the arrivals before and after it in the source's sequence do. That
+    window holds the rows of one source and a year, and only where a sequence is asked for.
+    """
+    at = F.unix_micros(F.col(arrival))
+    rows = rows.select(F.col(source).alias("_source"), "_local", at.alias("_at"), *([F.col(sequence).alias("_seq")] if sequence else []))
+    before = after = F.col("_at")
+    if sequence:
+        w = Window.partitionBy("_source", _period(F.col("_local"), 365)).orderBy("_seq")
+        rows = rows.withColumns({"_before": F.last("_at", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_after": F.first("_at", True).over(w.rowsBetween(1, Window.unboundedFollowing))})
+        before, after = F.coalesce("_at", "_before"), F.coalesce("_at", "_after")
+    minutes = lambda c: F.floor((c - F.col("_local")) / MINUTE_US).cast("int")
+    return rows.select("_source", "_local", (minutes(before) - late_min).alias("_low"), minutes(after).alias("_high")).filter(F.col("_low").isNotNull() & F.col("_high").isNotNull())
+
+
+def _history(zones: list[str], min_rows: int):
+    """The function that finds one source's history from its violations per period and zone."""
+
+    def find(rows: pd.DataFrame) -> pd.DataFrame:
+        periods, at = np.unique(rows["_period"].to_numpy(), return_inverse=True)
+        shape = (len(periods), len(zones))
+        rank = rows["_rank"].to_numpy()
+        n, bad, late = (np.zeros(shape) for _ in range(3))
+        for out, c in ((n, "n"), (bad, "violations"), (late, "late")):
+            out[at, rank] = rows[c].to_numpy(float)
+        # Of histories with as many violations, that nearest to the arrivals, then the first.
+        cost = bad + 1e-3 * late / max(late.sum(axis=0).max(), 1) + 1e-9 * np.arange(len(zones))
+        total, came = cost[0], np.zeros(shape, int)
+        for p in range(1, len(periods)):
+            best = int(np.argmin(total))
+            change = total[best] + min_rows / 2 < total
+            came[p] = np.where(change, best, np.arange(len(zones)))
+            total = cost[p] + np.where(change, total[best] + min_rows / 2, total)
+        chosen = np.zeros(len(periods), int)
+        chosen[-1] = int(np.argmin(total))
+        for p in range(len(periods) - 1, 0, -1):
+            chosen[p - 1] = came[p][chosen[p]]
+        out = []
+        edges = [0, *(np.flatnonzero(np.diff(chosen)) + 1), len(periods)]
+        for lo, hi in zip(edges, edges[1:]):
+            z = chosen[lo]
+            rows_in, base, own = n[lo:hi, z].sum(), bad[lo:hi, 0].sum(), bad[lo:hi, z].sum()
+            if z and rows_in >= min_rows and base * 2 > rows_in and own * 2 < base:
+                out += [(rows["_source"].iloc[0], int(p), zones[z]) for p in periods[lo:hi]]
+        return pd.DataFrame(out, columns=["_source", "_when", "_guess"])
+
+    return find
+
+
+def estimate_zones(rows: DataFrame, source: str, arrival: str, default_zone: str = "UTC", candidates: Sequence[str] = CANDIDATES, min_rows: int = 20, slack_min: int = 2, late_min: int = 30, period_days: int = 7, sequence: str | None = None) -> DataFrame:
+    """(_source, _when, _guess): sources and periods (of local time) that another zone than the default fits clearly better.
+
+    A violation is an instant after its arrival (beyond slack_min), or over late_min before it: a history that is too
+    far west puts instants into the future, one too far east puts all of them hours back. Rows are first counted by
+    source, day and the minutes between local time and arrival, which merges map-side: a hot source sends its
+    different days and lags. Only sources with at least min_rows violations in periods that the default mostly violates
+    are held against the other zones, on those counts. The best history of such a source changes zone only where that
+    saves min_rows / 2 violations (a shortest path over its periods and the zones). A stretch of it replaces the default
+    with min_rows rows or more, of which the default violates over half, and twice as many as the history.
     """
     zones = [default_zone, *[z for z in dict.fromkeys(candidates) if z != default_zone]]
-    narrow = rows.select(F.col(source).alias("_source"), F.unix_micros(F.col(arrival)).alias("_at"), "_local")
-    broken = (F.col("lag") < -slack_s * 1_000_000) | (F.col("lag") > 1_800_000_000)
-    in_default = F.col("_local") if default_zone == "UTC" else _in_zone(F.col("_local"), F.lit(default_zone))
-    base = narrow.withColumn("lag", F.col("_at") - in_default).groupBy("_source").agg(F.count("*").alias("n"), F.sum(F.when(broken, 1).otherwise(0)).alias("base"))
-    doubtful = narrow.join(base.filter((F.col("n") >= min_rows) & (F.col("base") * 2 > F.col("n"))), "_source")
-    table = rows.sparkSession.createDataFrame(list(enumerate(zones)), "rank int, zone string")
-    each = doubtful.crossJoin(F.broadcast(table)).withColumn("lag", F.col("_at") - _in_zone(F.col("_local"), F.col("zone")))
-    counts = each.groupBy("_source", "base", "rank", "zone").agg(F.sum(F.when(broken, 1).otherwise(0)).alias("violations"), F.sum(F.when(~broken, F.abs("lag")).otherwise(0)).alias("late"))
-    best = counts.groupBy("_source", "base").agg(F.min(F.struct("violations", "late", "rank", "zone")).alias("best"))
-    return best.filter(F.col("best.violations") * 2 < F.col("base")).select("_source", F.col("best.zone").alias("_guess"))
-
-
-def normalise_timestamps(df: DataFrame, text: str = "date", zone: str | None = "time_zone", locale: str | None = "locale", arrival: str | None = "received_at", source: str | None = "user_id", default_zone: str = "UTC", out: str = "utc_us", estimate: bool = True) -> DataFrame:
+    folded = _aligned(rows, source, arrival, sequence, late_min, period_days).groupBy("_source", F.floor(F.col("_local") / DAY_US).alias("_day"), "_low", "_high").agg(F.count("*").alias("_c"))
+    folded = sealed(folded)  # used twice; else the filter of the doubtful would go below the counts
+    noon = F.col("_day") * DAY_US + DAY_US // 2
+
+    def broken(east: Column) -> Column:
+        """Whether an instant so many minutes before its local time lies outside its bounds."""
+        return (-east < F.col("_low")) | (-east > F.col("_high") + slack_min)
+
+    east = lambda zone: ((noon - _in_zone(noon, zone)) / MINUTE_US).cast("int")
+    base = F.lit(0) if default_zone == "UTC" else east(F.lit(default_zone))
+    own = folded.groupBy("_source", _period(noon, period_days).alias("_p")).agg(F.sum("_c").alias("n"), F.sum(F.when(broken(base), F.col("_c")).otherwise(0)).alias("v"))
+    doubtful = own.filter(F.col("v") * 2 > F.col("n")).groupBy(F.col("_source").alias("_doubted")).agg(F.sum("v").alias("v")).filter(F.col("v") >= min_rows).select("_doubted")
+    table = rows.sparkSession.createDataFrame(list(enumerate(zones)), "_rank int, _zone string")
+    each = folded.join(doubtful, F.col("_source") == F.col("_doubted")).crossJoin(F.broadcast(table)).withColumn("_east", east(F.col("_zone")))
+    counts = each.groupBy("_source", _period(noon, period_days).alias("_period"), "_rank").agg(
+        F.sum("_c").alias("n"), F.sum(F.when(broken(F.col("_east")), F.col("_c")).otherwise(0)).alias("violations"), F.sum(F.when(~broken(F.col("_east")), F.abs(F.col("_high") + F.col("_east")) * F.col("_c")).otherwise(0)).alias("late")
+    )
+    kind = dict(rows.dtypes)[source]
+    return counts.groupBy("_source").applyInPandas(_history(zones, min_rows), f"_source {kind}, _when int, _guess string")
+
+
+def normalise_timestamps(df: DataFrame, text: str = "date", zone: str | None = "time_zone", locale: str | None = "locale", arrival: str | None = "received_at", source: str | None = "user_id", default_zone: str = "UTC", out: str = "utc_us", estimate: bool = True, sequence: str | None = None, period_days: int = 7) -> DataFrame:
     """df with `out`: microseconds since 1970 UTC, null where the text is no real date.
 
     Defined results: null, blank, non-date text and impossible dates or times give null; parts not written are zero;
     an unknown zone in the zone column counts as none; an unknown zone in the text gives null; null locale reads the
-    day first; a null arrival or source takes no part in the estimate and falls back to default_zone. Repeated rows
-    each get their instant. Columns of df are kept as they are, whatever their names; a column named `out` is replaced.
+    day first; a null source takes no part in the estimate and falls back to default_zone, and so does a null arrival
+    unless `sequence` names a column by which a source's rows are in order. Repeated rows each get their instant. Columns of df are kept as they are, whatever their names; a column named `out` is replaced.
     Only rows without any zone are shuffled.
     """
-    used = [c for c in (text, zone, locale, arrival if estimate else None, source if estimate else None) if c]
+    used = [c for c in (text, zone, locale, *((arrival, source, sequence) if estimate else ())) if c]
     need(df, used)
     columns, given_out, out = df.columns, out, "_out"
     df = df.toDF(*[f"_c{i}" for i in range(len(columns))])
-    text, zone, locale, arrival, source = (f"_c{columns.index(c)}" if c in used else None for c in (text, zone, locale, arrival, source))
+    text, zone, locale, arrival, source, sequence = (f"_c{columns.index(c)}" if c in used else None for c in (text, zone, locale, arrival, source, sequence))
 
     def named(rows: DataFrame) -> DataFrame:
         return rows.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns) if c.lower() != given_out.lower()], F.col(out).alias(given_out))
@@ -192,8 +263,9 @@ def normalise_timestamps(df: DataFrame, text: str = "date", zone: str | None = "
     told = F.coalesce(known, F.lit(False))
     apart = read(df.filter(~told))
     zoneless = F.col("_exact").isNull() & F.col("_local").isNotNull() & written.isNull()
-    guess = estimate_zones(apart.filter(zoneless & F.col(source).isNotNull() & F.col(arrival).isNotNull()), source, arrival, default_zone, [*CANDIDATES, *names])
-    open_rows = instant(apart.join(guess, apart[source] == guess["_source"], "left"), F.coalesce(F.col("_guess"), default)).drop("_source", "_guess")
+    guess = estimate_zones(apart.filter(zoneless & F.col(source).isNotNull()), source, arrival, default_zone, [*CANDIDATES, *names], period_days=period_days, sequence=sequence)
+    fits = (F.col(source) == F.col("_source")) & (_period(F.col("_local"), period_days) == F.col("_when"))
+    open_rows = instant(apart.join(guess, fits, "left"), F.coalesce(F.col("_guess"), default)).drop("_source", "_when", "_guess")
     return named(instant(read(df.filter(told)), default).unionByName(open_rows))
 
 

@@ -130,7 +130,9 @@ def test_several_fields_are_filled_as_each_alone(spark):
     assert len(both) == 600
     for f in ("v", "w"):
         assert {(r.id, f): (float(r.filled), r.filled_from) for r in I.fill_missing(df, "id", f, levels()).collect()}.items() <= both.items()
-    assert "SinglePartition" not in I.fill_missing(df, "id", ["v", "w"], levels())._jdf.queryExecution().executedPlan().toString()
+    for value in (["v", "w"], "v"):
+        plan = I.fill_missing(df, "id", value, levels())._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan and "NestedLoop" not in plan
 
 
 def test_diabetes_is_filled_by_the_mode(spark):

@@ -88,3 +88,51 @@ def test_estimate_knows_all_regions(spark):
             rows.append((f"{user}{k}", (at + timedelta(minutes=minutes)).strftime("%Y-%m-%d %H:%M:%S"), user, at + timedelta(seconds=40 + k), None, "x"))
     got = {r.id: r.utc_us for r in T.normalise_timestamps(spark.createDataFrame(rows, FIELDS)).collect()}
     assert got == want
+
+
+def stripped(seed, moves, days=200, per_day=2.0, late=0.03):
+    """Rows of a phone whose zone was lost: (local text, instant, arrival), by the zones it was in from the days on."""
+    import random
+    from zoneinfo import ZoneInfo
+
+    rng, out, t = random.Random(seed), [], datetime(2021, 1, 4, tzinfo=timezone.utc)
+    end = t + timedelta(days=days)
+    first = t
+    while t < end:
+        t += timedelta(days=rng.expovariate(per_day))
+        zone = ZoneInfo([z for d, z in moves if t >= first + timedelta(days=d)][-1])
+        lag = timedelta(days=rng.uniform(1, 20)) if rng.random() < late else timedelta(seconds=rng.expovariate(1 / 60))
+        out.append((t.astimezone(zone).strftime("%Y-%m-%d %H:%M:%S"), t.replace(microsecond=0), (t + lag).replace(tzinfo=None)))
+    return out
+
+
+PHONES = {
+    "berlin": [(0, "Europe/Berlin")], "tokyo": [(0, "Asia/Tokyo")], "sydney": [(0, "Australia/Sydney")], "new york": [(0, "America/New_York")], "kathmandu": [(0, "Asia/Kathmandu")],
+    "moved once": [(0, "Europe/Berlin"), (90, "America/Los_Angeles")], "moved and came back": [(0, "Europe/London"), (60, "Asia/Kolkata"), (130, "Europe/London")], "home": [(0, "UTC")], "away for long": [(0, "UTC"), (80, "Asia/Shanghai")],
+}
+
+
+def instants(spark, rows, **more):
+    df = spark.createDataFrame([(f"{u}-{k}", text, u, at, None, "x", k) for u, r in rows.items() for k, (text, _, at) in enumerate(r)], FIELDS + ", place int")
+    return {r.id: r.utc_us for r in T.normalise_timestamps(df, **more).collect()}
+
+
+def test_histories_of_phones_without_a_zone_are_recovered(spark):
+    rows = {u: stripped(k, moves) for k, (u, moves) in enumerate(PHONES.items())}
+    got, right = instants(spark, rows), {}
+    for u, r in rows.items():
+        right[u] = sum(got[f"{u}-{k}"] == int(t.timestamp()) * 1_000_000 for k, (_, t, _) in enumerate(r)) / len(r)
+    assert min(right.values()) >= 0.9 and sum(right.values()) / len(right) >= 0.95, right
+    assert right["home"] == 1.0
+
+
+def test_sequence_stands_in_for_missing_arrivals(spark):
+    rows = {u: stripped(30 + k, PHONES[u], per_day=40, days=30, late=0) for k, u in enumerate(("tokyo", "new york", "home"))}
+    rows = {u: [(text, t, at if k % 3 == 0 else None) for k, (text, t, at) in enumerate(r)] for u, r in rows.items()}
+    for sequence in ("place", None):
+        got = instants(spark, rows, sequence=sequence)
+        assert all(got[f"{u}-{k}"] == int(t.timestamp()) * 1_000_000 for u, r in rows.items() for k, (_, t, _) in enumerate(r))
+    alone = {"tokyo": [(text, t, at if k % 40 == 0 else None) for k, (text, t, at) in enumerate(rows["tokyo"])]}
+    alone = {"tokyo": [(text, t, t.replace(tzinfo=None) + timedelta(seconds=30) if k % 2 == 0 and k < 30 else None) for k, (text, t, _) in enumerate(alone["tokyo"])]}
+    right = lambda got: sum(got[f"tokyo-{k}"] == int(t.timestamp()) * 1_000_000 for k, (_, t, _) in enumerate(alone["tokyo"][:30]))
+    assert right(instants(spark, alone, sequence="place")) == 30 and right(instants(spark, alone)) == 0
