@@ -29,6 +29,7 @@ ITEMS_LIMIT = 32_000_000
 # Escapes of notebook cells and of terminals.
 ESCAPE = re.compile(r"(?:\x1b|\\+u001[bB]|\\+x1[bB])\[[0-9;]*[A-Za-z]|\\+u([0-9a-fA-F]{4})|\\+[nrtbf]")
 WORD = re.compile(r"[^\W_]+")
+_LAST = np.uint64((1 << 20) - 1)
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,8 +83,14 @@ def winnow(g: np.ndarray, window: int = WINDOW) -> np.ndarray:
         return np.zeros(0, np.int64)
     if len(g) <= window:
         return np.array([len(g) - 1 - int(np.argmin(g[::-1]))])
-    views = np.lib.stride_tricks.sliding_window_view(g, window)
-    return np.unique(np.arange(len(views)) + window - 1 - np.argmin(views[:, ::-1], axis=1))
+    n = len(g) - window + 1
+    least, at = g[:n].copy(), np.arange(n)
+    for j in range(1, window):
+        smaller = g[j : j + n] <= least
+        at[smaller] = np.flatnonzero(smaller) + j
+        np.minimum(least, g[j : j + n], out=least)
+    # From window to window the place never goes back.
+    return at[np.concatenate(([True], at[1:] != at[:-1]))]
 
 
 def least_words(share: float, error_rate: float, k: int = K, window: int = WINDOW) -> int:
@@ -255,17 +262,20 @@ class Items:
         for short, own in parts.items():
             h = np.concatenate([x for x, _ in own]) if own else np.zeros(0, np.uint64)
             order = np.argsort(h, kind="stable")
-            self.tables.append((1 if short else window, h[order], np.repeat([i for _, i in own], [len(x) for x, _ in own]).astype(np.int64)[order] if own else np.zeros(0, np.int64)))
+            likely = np.zeros(1 << 20, bool)  # by the last bits, a cheap pass before the search
+            likely[h & _LAST] = True
+            self.tables.append((1 if short else window, likely, h[order], np.repeat([i for _, i in own], [len(x) for x, _ in own]).astype(np.int64)[order] if own else np.zeros(0, np.int64)))
 
     def leaks(self, text: str | None) -> list[tuple[int, int]]:
         """(item, stretch) of the items that leaked into a text."""
         words = words_of(text)
         g = grams(hash_words(words), self.k)
         out = []
-        for window, hashes, item in self.tables:
+        for window, likely, hashes, item in self.tables:
             if not len(hashes) or not len(g):
                 continue
-            own = np.unique(g[winnow(g, window)])
+            own = g[winnow(g, window)]
+            own = np.unique(own[likely[own & _LAST]])
             low, high = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
             hit = high > low
             if not hit.any():
