@@ -10,8 +10,6 @@ from cohortloom.functions.common import bound, fresh, need
 
 #: Types that a dictionary may hold, and types beyond the known ones that may become columns.
 DICTIONARY_LIMIT, TYPES_LIMIT = 100_000, 2_000
-#: Parts that the events of one entity and type are laid out in.
-SALTS = 16
 
 
 def types_of(events: DataFrame, type_of: Column, known: Sequence[str] = (), limit: int = DICTIONARY_LIMIT) -> list[str]:
@@ -39,20 +37,21 @@ def _vectors(folded: DataFrame) -> DataFrame:
     return each.groupBy(F.col("_entity").alias("entity")).agg(F.map_from_entries(entries).alias("vector"))
 
 
-def sparse_features(events: DataFrame, entity: Column, type_of: Column, at: Column, types: Sequence[str], value: Column | None = None, record: Sequence[str] | None = None) -> DataFrame:
+def sparse_features(events: DataFrame, entity: Column, type_of: Column, at: Column, types: Sequence[str], value: Column | None = None, record: Sequence[str] | None = None, parts: int | None = None) -> DataFrame:
     """(entity, vector): per entity a sparse vector, a map from the index of a type in `types` to (n, last_us, total).
 
     Events are narrowed to numbers first: the type's index, the time, the value and a 64-bit hash of `record`, the
     columns by which an exact copy is known (copies of one event, which agree in all else, count once). These rows are
-    laid out by entity, type and a part of the hash, so that a hot entity lies in many tasks; there copies are dropped
-    and events folded without another shuffle, and what the second shuffle moves are at most SALTS rows for each
-    entity and type. Defined results: null entities are left out, a null type counts as '' and types that `types` lacks
+    laid out by entity, type and a part of the hash, so that a hot entity, or a hot type of it, lies in all tasks; there
+    copies are dropped and events folded without another shuffle, and what the second shuffle moves are at most `parts`
+    rows (by default as many as the session has shuffle partitions) for each entity and type. Defined results: null entities are left out, a null type counts as '' and types that `types` lacks
     are left out, null times leave the last time as it is, null values add nothing to a total; no events give no rows.
     """
     value = value if value is not None else F.lit(None).cast("double")
+    parts = parts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = F.xxhash64(*[F.col(c) for c in record]) if record else F.monotonically_increasing_id()
     rows = events.select(entity.alias("_entity"), F.coalesce(type_of, F.lit("")).alias("_name0"), F.unix_micros(at).alias("_at"), value.cast("double").alias("_value"), own.alias("_own")).filter(F.col("_entity").isNotNull())
-    rows = rows.join(_dictionary(events, types), F.col("_name0") == F.col("_name")).select("_entity", "_type", F.pmod("_own", F.lit(SALTS)).cast("int").alias("_part"), "_own", "_at", "_value")
+    rows = rows.join(_dictionary(events, types), F.col("_name0") == F.col("_name")).select("_entity", "_type", F.pmod("_own", F.lit(parts)).cast("int").alias("_part"), "_own", "_at", "_value")
     laid = rows.repartition("_entity", "_type", "_part")
     once = laid.distinct() if record else laid
     folded = once.groupBy("_entity", "_type", "_part").agg(F.count("*").alias("n"), F.max("_at").alias("last_us"), F.sum("_value").alias("total"))

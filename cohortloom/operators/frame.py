@@ -66,7 +66,7 @@ def empty_like(df: DataFrame, *names: str) -> DataFrame:
 
 
 def copy_column(source: DataFrame, name: str, target: DataFrame, row: str, to: str | None = None) -> DataFrame:
-    """target with a column of source, kind and all, by equal row numbers; null where source has no such row. A column of that name is replaced."""
+    """target with a column of source, kind and all, by equal row numbers; null where source has no such row, a row for each where it has several. A column of that name is replaced."""
     need(source, [name, row])
     need(target, [row])
     kind = source.schema[name].metadata or {}

@@ -152,15 +152,19 @@ _FILL = f"""
 _CELL = '(?:"(?:[^"]|"")*"|[^",]*)'
 
 
-def _cell(k: int) -> str:
-    """The k-th cell (from 0) of raw_text, quotes undone and trimmed."""
+def cell_sql(k: int) -> str:
+    """The k-th cell (from 0) of raw_text, quotes undone."""
     found = f"regexp_extract(raw_text, '^(?:{_CELL}, *){{{k}}}({_CELL})(?:,|$)', 1)"
-    return f"regexp_replace(case when starts_with({found}, '\"') then replace(substr({found}, 2, length({found}) - 2), '\"\"', '\"') else {found} end, '^\\s+|\\s+$', '', 'g')"
+    return f"case when starts_with({found}, '\"') then replace(substr({found}, 2, length({found}) - 2), '\"\"', '\"') else {found} end"
+
+
+def _cell(k: int) -> str:
+    return f"regexp_replace({cell_sql(k)}, '^\\s+|\\s+$', '', 'g')"
 
 
 _BAD_INT = "v <> '' and not (regexp_full_match(v, '[+-]?[0-9]+') and try_cast(ltrim(v, '+') as integer) is not null)"
 _BAD_FLOAT = "v <> '' and not (regexp_full_match(v, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') and isfinite(coalesce(try_cast(ltrim(v, '+') as double), 'inf'::double)))"
-_P1 = f"""
+RECORDS_SQL = f"""
  with r as (select record_id, file_name, raw_text, case file_name when 'users.csv' then 7 when 'assessments.csv' then 8 else -1 end as width,
    case when raw_text is null then 'column_count' when not regexp_full_match(raw_text, '{_CELL}(?:, *{_CELL})*') then 'quoting'
     when length(regexp_replace(regexp_replace(raw_text, '"(?:[^"]|"")*"', '', 'g'), '[^,]', '', 'g')) + 1 <> width then 'column_count' end as reason from raw_records),
@@ -170,6 +174,15 @@ _P1 = f"""
  select record_id, reason, '' as field from r where reason is not null
  union all select record_id, 'bad_value', field from c where case when is_float then {_BAD_FLOAT} else {_BAD_INT} end
 """
+
+
+def _clean(layout: P.Layout) -> str:
+    """The readable records of a layout, typed."""
+    kinds = {"int": "integer", "float": "float"}
+    cells = ", ".join(f'{cell_sql(k)} as "{name}"' if kind == "string" else f"try_cast(ltrim({_cell(k)}, '+') as {kinds[kind]}) as \"{name}\"" for k, (name, kind) in enumerate(layout.columns))
+    return f"select record_id, {cells} from raw_records where file_name = '{layout.file_name}' and raw_text is not null and record_id not in (select record_id from ({RECORDS_SQL}))"
+
+
 _TEMPERATURES = f"""
  with a as (select distinct id, temperature_f as v, {_KEY.format("user_id")} as who, (year(received_at at time zone 'UTC') * 12 + month(received_at at time zone 'UTC'))::integer as m, {_MISSING.format("temperature_f")} or isnan(temperature_f) as gone from assessments),
  p as (select who, m, round(v::double, 2) as v from a where not gone),
@@ -182,14 +195,13 @@ _TEMPERATURES = f"""
 """
 _EVENTS = f"""(select {_KEY.format("user_id")} as user_id, {_LABELS} as event_type, received_at, case when not isnan(temperature_f) and temperature_f > 0 and temperature_f < 900 then temperature_f::double end as measured
  from (select distinct id, user_id, entry_form, loss_of_smell, tested_covid_positive, received_at, temperature_f from assessments) where {_KEY.format("user_id")} is not null)"""
-_COLUMNS = ", ".join(
-    f"""coalesce(max(n) filter (where event_type = '{t}'), 0) as "{t.replace("/", "_")}__n", max(last_us) filter (where event_type = '{t}') as "{t.replace("/", "_")}__last_us", max(total) filter (where event_type = '{t}') as "{t.replace("/", "_")}__total\""""
-    for t in KNOWN_TYPES
-)
+_COLUMNS = ", ".join(f"""coalesce(map_extract(m, '{t}')[1].n, 0) as "{c}__n", map_extract(m, '{t}')[1].l as "{c}__last_us", map_extract(m, '{t}')[1].t as "{c}__total\"""" for t, c in ((t, t.replace("/", "_")) for t in KNOWN_TYPES))
 
 ORACLES = {
-    "p1_found": _P1,
-    "p1_report": f"select record_id, min(reason) as reason, coalesce(string_agg(distinct nullif(field, ''), ',' order by nullif(field, '')), '') as fields from ({_P1}) group by record_id",
+    "p1_found": RECORDS_SQL,
+    "p1_clean_users": _clean(P.USERS_CSV),
+    "p1_clean_assessments": _clean(P.ASSESSMENTS_CSV),
+    "p1_report": f"select record_id, min(reason) as reason, coalesce(string_agg(distinct nullif(field, ''), ',' order by nullif(field, '')), '') as fields from ({RECORDS_SQL}) group by record_id",
     "p5_fills": f"""
  select 'users' as table_name, id as record_id, 'bmi' as field, filled::double as filled, filled_from from ({_FILL.format("bmi")}) where is_filled
  union all select 'users', id, 'height_cm', filled::double, filled_from from ({_FILL.format("height_cm")}) where is_filled
@@ -205,7 +217,7 @@ ORACLES = {
  from u left join l1 on u.born = l1.born and u.area = l1.area left join l2 on u.born = l2.born cross join l3
 """,
     "p6_totals": f"select user_id, event_type, count(*) as n_events, max(epoch_us(received_at)) as last_us, round(sum(measured), 3) as total from {_EVENTS} group by all",
-    "p6_table": f"select user_id as entity, {_COLUMNS} from (select user_id, event_type, count(*) as n, max(epoch_us(received_at)) as last_us, round(sum(measured), 3) as total from {_EVENTS} group by all) group by user_id",
+    "p6_table": f"select user_id as entity, {_COLUMNS} from (select user_id, map(list(event_type), list({{'n': n, 'l': last_us, 't': total}})) as m from (select user_id, event_type, count(*) as n, max(epoch_us(received_at)) as last_us, round(sum(measured), 3) as total from {_EVENTS} group by all) group by user_id)",
     "p5_users_bmi": _FILL.format("bmi"),
     "p5_users_height": _FILL.format("height_cm"),
     "p3_found": _P3,

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortloom.functions import arithmetic as A, dates as D, text as X
 from cohortloom.functions.common import bound
 from cohortloom.operators import aggregate as G, frame as R, journal as J, merge as M, order as O, parse_errors as P, spans as S
+from cohortloom.plans.quality import RECORDS_SQL, cell_sql
 from cohortloom.session import checkpoint_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -461,7 +462,10 @@ def parse_numbers(spark, d):
     return raw.select("record_id", height.alias("height")).filter("height is not null")
 
 
-@query()
+@query(f"""
+ select record_id, case when regexp_full_match(v, '[+-]?[0-9]+') then try_cast(ltrim(v, '+') as integer) end as height
+ from (select record_id, case when record_id not in (select record_id from ({RECORDS_SQL}) where reason <> 'bad_value') then trim({cell_sql(5)}) end as v from raw_records where file_name = 'users.csv')
+""")
 def parse_numbers_all(spark, d):
     """parse_numbers over every record of users.csv, quoted cells too: null where the cell, or the record, can't be read."""
     raw = table(spark, d, "raw_records").filter(F.col("file_name") == P.USERS_CSV.file_name)
@@ -553,15 +557,13 @@ def import_categories(spark, d):
 
 @query("select r_regionkey::integer as r_regionkey, r_name from region where r_regionkey <> 2")
 def import_set_apart(spark, d):
-    """A file with unreadable lines: the valid ones, by the parse-error operator."""
-    from cohortloom.sources.csv import read_records
+    """A file with unreadable lines: the valid ones, while the others are set apart."""
+    from cohortloom.sources.csv import Field, read_csv_set_apart
 
     folder = _folder(spark, d, "import_set_apart")
     lines = table(spark, d, "region").select(F.when(F.col("r_regionkey") == 2, F.concat(F.lit('2,"'), "r_name")).otherwise(F.concat_ws(",", F.col("r_regionkey").cast("string"), "r_name")).alias("value"))
     spark.createDataFrame([("r_regionkey,r_name",)], "value string").union(lines).coalesce(1).write.mode("overwrite").text(folder)
-    layout = P.Layout("regions", (("r_regionkey", "int"), ("r_name", "string")))
-    records = read_records(spark, folder, "regions")
-    return P.clean_rows(records, layout, P.parse_errors(records, (layout,))).select("r_regionkey", "r_name")
+    return read_csv_set_apart(spark, folder, {"r_regionkey": Field("numeric", "int32", flag=False)}, "regions", journal=False)[0]
 
 
 # ---- whole results of operators that the queries above show in part ----------------------------------------------------

@@ -12,6 +12,7 @@ from cohortloom.functions import text as X
 from cohortloom.functions.common import need
 from cohortloom.operators.frame import encode_categories, encode_leaky
 from cohortloom.operators.journal import FROM, OPEN_END, TO
+from cohortloom.operators.parse_errors import Layout, clean_rows, parse_errors
 from cohortloom.types import NUMERIC, Kind, bounds
 
 MODES = ("strict", "allow_empty", "relaxed")
@@ -158,10 +159,18 @@ def read_records(spark: SparkSession, path: str, file_name: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: Mapping[str, Field], include: Sequence[str] | None = None, exclude: Sequence[str] | None = None, timestamp: datetime | None = None, journal: bool = True, encoding: str | None = None, line_breaks: bool | None = None) -> DataFrame:
     """A file typed by a schema. Columns the schema doesn't know come as text; with journal, rows get their validity times."""
+    _unreserved(schema)
+    return typed_columns(read_text_columns(spark, path, encoding, line_breaks), schema, include, exclude, timestamp, journal)
+
+
+def _unreserved(schema: Mapping[str, Field]) -> None:
     clash = {FROM, TO} & set(schema)
     if clash:
         raise ValueError(f"{sorted(clash)} are reserved names")
-    df = read_text_columns(spark, path, encoding, line_breaks)
+
+
+def typed_columns(df: DataFrame, schema: Mapping[str, Field], include: Sequence[str] | None = None, exclude: Sequence[str] | None = None, timestamp: datetime | None = None, journal: bool = True) -> DataFrame:
+    """Text columns typed by a schema, as read_csv has it."""
     for names in (include, exclude):
         need(df, names or ())
     columns = [c for c in df.columns if (include is None or c in include) and c not in (exclude or ())]
@@ -172,6 +181,24 @@ def read_csv(spark: SparkSession, path: str, schema: Mapping[str, Field], includ
     return df.select(*out)
 
 
+def read_csv_set_apart(spark: SparkSession, path: str, schema: Mapping[str, Field], file_name: str, **more) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors): the readable rows of a file, typed as read_csv has it, and the others with the reason, as parse_errors has it.
+
+    Errors are those of quotes and of the number of cells, and int32, float32 and float64 fields that aren't relaxed and
+    hold text that is no such number. Other fields raise as in read_csv. Splits as large as any: a line is a record.
+    """
+    _unreserved(schema)
+    head = spark.read.text(path).limit(1).collect()
+    names = [c.strip().strip('"').removeprefix("\ufeff") for c in head[0].value.split(",")] if head else []
+    kinds = {"int32": "int", "float32": "float", "float64": "float"}
+    kind = lambda f: kinds.get(f.nformat, "string") if f is not None and f.kind == "numeric" and f.validation_mode != "relaxed" else "string"
+    records = read_records(spark, path, file_name)
+    errors = parse_errors(records, (Layout(file_name, tuple((c, kind(schema.get(c))) for c in names)),))
+    # Columns go by place until they are typed, as one may be named like the record's own.
+    plain = clean_rows(records, Layout(file_name, tuple((f"_cell{k}", "string") for k in range(len(names)))), errors)
+    return typed_columns(plain.drop("record_id").toDF(*names), schema, **more), errors
+
+
 def to_csv(df: DataFrame, path: str, row_filter: Column | None = None, column_filter: Sequence[str] | None = None, single_file: bool = False) -> None:
     """Writes a folder of delimited files with headers; one file only where it is asked for."""
     out = df if row_filter is None else df.filter(row_filter)

@@ -8,13 +8,16 @@ from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 
-from cohortloom.sources.csv import read_csv
+from cohortloom.sources.csv import read_csv, read_csv_set_apart
 from cohortloom.sources.dataset import Dataset
 from cohortloom.sources.schema import load_schema
 
 
-def import_with_schema(spark: SparkSession, dataset: str, schema_file: str, files: Mapping[str, str], overwrite: bool = False, include: Mapping[str, Sequence[str]] | None = None, exclude: Mapping[str, Sequence[str]] | None = None, timestamp: datetime | None = None) -> Dataset:
-    """Reads each file by its table's schema into the dataset. Without overwrite, tables that exist get the rows appended as a new snapshot."""
+def import_with_schema(spark: SparkSession, dataset: str, schema_file: str, files: Mapping[str, str], overwrite: bool = False, include: Mapping[str, Sequence[str]] | None = None, exclude: Mapping[str, Sequence[str]] | None = None, timestamp: datetime | None = None, set_apart: bool = False) -> Dataset:
+    """Reads each file by its table's schema into the dataset. Without overwrite, tables that exist get the rows appended as a new snapshot.
+
+    With set_apart, lines that can't be read go with their reason into a table `<name>_errors` instead of failing the import.
+    """
     schema = load_schema(schema_file)
     for names in (files, include or {}, exclude or {}):
         unknown = set(names) - set(schema)
@@ -26,7 +29,12 @@ def import_with_schema(spark: SparkSession, dataset: str, schema_file: str, file
     except FileNotFoundError:
         out = Dataset(spark, dataset, "w")
     for name, path in files.items():
-        df = read_csv(spark, path, schema[name], (include or {}).get(name), (exclude or {}).get(name), at)
+        only = {"include": (include or {}).get(name), "exclude": (exclude or {}).get(name), "timestamp": at}
+        if set_apart:
+            df, errors = read_csv_set_apart(spark, path, schema[name], name, **only)
+            out.create(f"{name}_errors", errors, "append")
+        else:
+            df = read_csv(spark, path, schema[name], **only)
         out.create(name, df, "append")
     return out
 
@@ -54,12 +62,13 @@ def main(argv: Sequence[str] | None = None) -> None:
     i.add_argument("-ts", "--timestamp", help="time of the snapshot, ISO 8601")
     i.add_argument("-n", "--include", help="table:(field, field), ...")
     i.add_argument("-x", "--exclude", help="table:(field, field), ...")
+    i.add_argument("-a", "--set-apart", action="store_true", help="put unreadable lines into a table of errors")
     a = p.parse_args(argv)
     at = datetime.fromisoformat(a.timestamp) if a.timestamp else None
     if at is not None and at.tzinfo is None:
         at = at.replace(tzinfo=timezone.utc)
     spark = SparkSession.builder.appName("cohortloom import").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    import_with_schema(spark, a.dataset, a.schema, _pairs(a.files), a.overwrite, _lists(a.include), _lists(a.exclude), at)
+    import_with_schema(spark, a.dataset, a.schema, _pairs(a.files), a.overwrite, _lists(a.include), _lists(a.exclude), at, a.set_apart)
 
 
 if __name__ == "__main__":
