@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from cohortloom.functions.common import need
-from cohortloom.operators.order import number_rows, running_sum
+from cohortloom.operators.order import _laid_out, number_rows
 from cohortloom.types import Kind
 
 
@@ -101,9 +101,12 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], fractions: Sequence[f
     """
     values = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("_f"), F.col(c).cast("double").alias("_val")) for k, c in enumerate(columns)])).alias("_x")).select("_x.*")
     counts = values.filter(F.col("_val").isNotNull() & ~F.isnan("_val")).groupBy("_f", "_val").agg(F.count("*").alias("_count"))
-    upto = running_sum(counts, [F.col("_f"), F.col("_val")], F.col("_count"), "_upto")
-    per = upto.groupBy(F.col("_f").alias("_field")).agg(F.sum("_count").alias("_total"), (F.max("_upto") - F.sum("_count")).alias("_base"))  # a row for each column
-    both = upto.join(F.broadcast(per), F.col("_f") == F.col("_field")).withColumn("_to", F.col("_upto") - F.col("_base"))
+    laid, _ = _laid_out(counts, [F.col("_f"), F.col("_val")])
+    within = laid.withColumn("_so_far", F.sum("_count").over(Window.partitionBy("_pid", "_f").orderBy("_n")))
+    sums = laid.groupBy(F.col("_pid").alias("_p"), F.col("_f").alias("_field")).agg(F.sum("_count").alias("_own"))  # a row for each partition and column
+    w = Window.partitionBy("_field")
+    seams = sums.select("_p", "_field", (F.sum("_own").over(w.orderBy("_p")) - F.col("_own")).alias("_base"), F.sum("_own").over(w).alias("_total"))
+    both = within.join(F.broadcast(seams), (F.col("_pid") == F.col("_p")) & (F.col("_f") == F.col("_field"))).withColumn("_to", F.col("_base") + F.col("_so_far"))
     out = []
     for i, q in enumerate(fractions):
         at = F.lit(q) * (F.col("_total") - 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortloom.functions.arithmetic import wrap
-from cohortloom.functions.common import need
+from cohortloom.functions.common import fresh, need
 from cohortloom.types import Kind, NUMERIC
 
 
@@ -70,9 +70,10 @@ def copy_column(source: DataFrame, name: str, target: DataFrame, row: str, to: s
     need(source, [name, row])
     need(target, [row])
     kind = source.schema[name].metadata or {}
-    own = source.select(F.col(row).alias("_row"), F.col(name).alias("_copied"))
+    at, copied = fresh(target, "_row"), fresh(target, "_copied")
+    own = source.select(F.col(row).alias(at), F.col(name).alias(copied))
     kept = [F.col(c) for c in target.columns if c.lower() != (to or name).lower() or c == row]
-    return target.join(own, F.col(row) == F.col("_row"), "left").select(*kept, F.col("_copied").alias(to or name, metadata=kind))
+    return target.join(own, F.col(row) == F.col(at), "left").select(*kept, F.col(copied).alias(to or name, metadata=kind))
 
 
 def move_column(source: DataFrame, name: str, target: DataFrame, row: str, to: str | None = None) -> tuple[DataFrame, DataFrame]:

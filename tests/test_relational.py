@@ -218,6 +218,8 @@ def test_columns_across_tables(spark):
     assert sorted((r.row, r.w) for r in out.collect()) == [(0, 300), (1, 2), (2, None)] and R.keys(out, "w") == {300: "calm", 2: "gale"}
     rest, moved = R.move_column(a, "w", b, "row", "wind")
     assert rest.columns == ["row"] and moved.columns == ["row", "W", "wind"]
+    clash = b.withColumnsRenamed({"W": "_copied"}).withColumn("_row", F.lit(1))
+    assert sorted((r.row, r.w, r._row) for r in R.copy_column(a, "w", clash, "row").collect()) == [(0, 300, 1), (1, 2, 1), (2, None, 1)]
     with pytest.raises(ValueError):
         R.copy_column(a, "nope", b, "row")
 
