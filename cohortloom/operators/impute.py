@@ -64,14 +64,16 @@ def fill_missing(df: DataFrame, record: str, value: str | Sequence[str], levels:
         for c in level.keys:
             columns.setdefault(id(c), (f"_k{len(columns)}", c))
     keys = [n for n, _ in columns.values()]
-    # A generator, as a literal field would be folded away, and the groups of a level without keys with it.
-    number_of = lambda f: F.col(f) if isinstance(value, str) else F.col(f).cast("double")
-    values = F.explode(F.array(*[F.struct(F.lit(f).alias("_field"), number_of(f).alias("_value")) for f in fields])).alias("_x")
-    base = df.select(F.col(record).alias("_record"), values, *[c.alias(n) for n, c in columns.values()], *[F.col(c).alias(f"_keep_{c}") for c in keep]).select("*", "_x.*").drop("_x")
+    if isinstance(value, str):
+        values = [F.lit(value).alias("_field"), F.col(value).alias("_value")]
+    else:
+        values = [F.inline(F.array(*[F.struct(F.lit(f).alias("_field"), F.col(f).cast("double").alias("_value")) for f in fields]))]
+    base = df.select(F.col(record).alias("_record"), *values, *[c.alias(n) for n, c in columns.values()], *[F.col(c).alias(f"_keep_{c}") for c in keep])
     base = base.distinct()
     gone = missing(F.col("_value")) if missing is not None else missing_number(F.col("_value")) if kind == "median" else F.col("_value").isNull()
     gone = F.coalesce(gone, F.lit(True))
-    present, absent = base.filter(~gone), base.filter(gone)
+    # Sealed, as a literal field would be folded away, and with it the key by which a level of all rows is joined.
+    present, absent = base.filter(~gone), sealed(base.filter(gone))
     number = F.col("_value").cast("double")
     number = number if len(whole) == len(fields) else F.round(number, decimals)
     filled = absent
